@@ -125,3 +125,11 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def sent(spark: SparkSession, value) -> Callable:
+    """Broadcasts a value of bounded size; the result gives it on executors, with the classes of this package it uses."""
+    from pyspark import cloudpickle
+
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, packing, rules, substring_dedup
+from . import archives, fingerprints, language, licenses, mixing, near_dup, packing, quality, rules, substring_dedup
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archives.arcs_to_records(archives.pages_to_arcs(table(spark, sf_dir, "pages"), version=2))
+    path = new_path(spark, "warc")
+    archives.write_warcs(records, path)
+    return archives.read_warcs(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,16 +48,34 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    return out.select("doc_id", "n_words", names.alias("licenses"), F.size("matches").cast("long").alias("n_matches"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), width=400)
-
     return out.select("doc_id", "n_bytes", F.col("n_removed").cast("long"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.fit(docs))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_source_mix, op6_near_dup, op8_suffix_dedup, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_fingerprints, op3_warc_converter, op4_best_fit_packing, op5_source_mix, op6_near_dup,
+        op7_license_scan, op8_suffix_dedup, op9_language_id, op10_quality_rules,
+    )
+}
+
+#: All but the statistics need learned models, token ids, signatures or archives; tests/llm holds the brute-force versions.
 ORACLE_SQL: dict[str, str] = {}

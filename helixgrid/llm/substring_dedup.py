@@ -17,7 +17,7 @@ suffix array as partners of the others.
 
 Defined cases: null text is empty; documents shorter than WIDTH keep all;
 repeated rows count as other places, so each loses what both hold; null and
-repeated ids are allowed (a row is known by id and text hash); an empty table
+repeated ids are allowed (a row is known by two 64-bit hashes, of its id and of its text); an empty table
 gives an empty result; characters cut in two are dropped from the decoded
 text, not from the bytes.
 """
@@ -115,34 +115,43 @@ def repeated_anchors(rows: DataFrame, width: int) -> DataFrame:
     return mapped(rows.select("text"), batch, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where h is in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+CONTEXT = "anchor long, head int, windows int, body binary, who array<long>, row array<long>, start array<long>"
+
+
 def _contexts(rows: DataFrame, width: int, known: np.ndarray | None) -> DataFrame:
-    """(anchor, id, row, start, head, windows, body) for each election of an anchor in `known` (None: all).
+    """Contexts of the elections of an anchor in `known` (None: all), equal ones of a batch as one row.
 
-    start: the first window's place in the document; body: the bytes under its windows; head: bytes before the anchor.
+    body: the bytes under its windows; head: bytes before the anchor; who, row, start: the documents, and
+    where in each the first window stands.
     """
-    kind = dict(rows.dtypes)["id"]
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        anchors, owner, starts, heads, wins, bodies = [], [], [], [], [], []
-        for base, moved, blob, (doc, h, at, lo, hi) in _pieces(texts := _bytes(pdf["text"]), width):
+        texts = _bytes(pdf["text"])
+        who, row = pdf["who"].to_numpy(), pdf["row"].to_numpy()
+        found: dict[tuple, list[tuple[int, int]]] = {}
+        for base, moved, blob, (doc, h, at, lo, hi) in _pieces(texts, width):
             if known is not None:
-                keep = np.flatnonzero(np.isin(h, known))
+                keep = np.flatnonzero(_among(h, known))
                 doc, h, at, lo, hi = (x[keep] for x in (doc, h, at, lo, hi))
             if not len(doc):
                 continue
             origin = np.cumsum([0, *map(len, texts[base : base + int(doc.max()) + 1])])[:-1] if not moved else np.array([0])
-            anchors.append(h)
-            owner.append(doc + base)
-            starts.append(lo - origin[doc] + moved)
-            heads.append(at - lo)
-            wins.append(hi - lo + 1)
-            bodies += [blob[a:b] for a, b in zip(lo.tolist(), (hi + width).tolist(), strict=True)]
-        if not anchors:
-            return pd.DataFrame({c: [] for c in ("anchor", "id", "row", "start", "head", "windows", "body")})
-        rows_of = np.concatenate(owner)
-        return pd.DataFrame({"anchor": np.concatenate(anchors), "id": pdf["id"].array.take(rows_of), "row": pdf["row"].to_numpy()[rows_of], "start": np.concatenate(starts), "head": np.concatenate(heads), "windows": np.concatenate(wins), "body": bodies})
+            for key, own, start in zip(zip(h.tolist(), (at - lo).tolist(), (hi - lo + 1).tolist(), [blob[i:j] for i, j in zip(lo.tolist(), (hi + width).tolist(), strict=True)], strict=True), (doc + base).tolist(), (lo - origin[doc] + moved).tolist(), strict=True):
+                found.setdefault(key, []).append((own, start))
+        keys, refs = list(found), [np.array(x, np.int64) for x in found.values()]
+        return pd.DataFrame({
+            "anchor": [k[0] for k in keys], "head": [k[1] for k in keys], "windows": [k[2] for k in keys], "body": [k[3] for k in keys],
+            "who": [who[x[:, 0]] for x in refs], "row": [row[x[:, 0]] for x in refs], "start": [x[:, 1] for x in refs],
+        })
 
-    return mapped(rows.select("id", "row", "text"), batch, f"anchor long, id {kind}, row long, start long, head int, windows int, body binary")
+    return mapped(rows.select("who", "row", "text"), batch, CONTEXT)
 
 
 def _furthest(group: np.ndarray, sides: list[bytes]) -> np.ndarray:
@@ -178,37 +187,38 @@ def _runs(places: list[int]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Whole groups of contexts -> (id, row, lo, hi), the bytes covered by windows that occur twice."""
+    """Whole groups of contexts -> (who, row, lo, hi), the bytes covered by windows that occur twice."""
     group = pdf["anchor"].to_numpy()
     body, head, wins = pdf["body"].tolist(), pdf["head"].to_numpy().astype(np.int64), pdf["windows"].to_numpy().astype(np.int64)
+    copies = pdf["start"].map(len).to_numpy()
     right = _furthest(group, [b[h : h + width] for b, h in zip(body, head, strict=True)])
     left = _furthest(group, [b[:h][::-1] for b, h in zip(body, head, strict=True)])
-    first = np.maximum(0, head - left)
-    last = np.minimum(wins - 1, head + right - width)
-    rows: list[int] = []
-    lo: list[int] = []
-    hi: list[int] = []
+    first = np.where(copies > 1, 0, np.maximum(0, head - left))
+    last = np.where(copies > 1, wins - 1, np.minimum(wins - 1, head + right - width))
     texts: dict[int, dict[bytes, list[int]]] = {}
     for i in np.flatnonzero(first <= last).tolist():
         texts.setdefault(group[i], {}).setdefault(body[i][first[i] : last[i] + width], []).append(i)
+    rows: list[int] = []
+    lo: list[int] = []
+    hi: list[int] = []
     for classes in texts.values():
         strings = list(classes)
-        single = any(len(x) == 1 for x in classes.values())
-        windows = repeated_windows(strings, width) if single and len(strings) > 1 else [[]] * len(strings)
-        for s, found in zip(strings, windows, strict=True):
-            runs = [(0, len(s) - width)] if len(classes[s]) > 1 else _runs(found)
+        twice = [len(x) > 1 or copies[x[0]] > 1 for x in classes.values()]
+        windows = repeated_windows(strings, width) if not all(twice) and len(strings) > 1 else [[]] * len(strings)
+        for s, found, whole in zip(strings, windows, twice, strict=True):
+            runs = [(0, len(s) - width)] if whole else _runs(found)
             for i in classes[s]:
                 for a, b in runs:
                     rows.append(i)
                     lo.append(first[i] + a)
                     hi.append(first[i] + b + width)
-    start = pdf["start"].to_numpy()[rows] if rows else np.empty(0, np.int64)
-    return pd.DataFrame({"id": pdf["id"].array.take(rows), "row": pdf["row"].to_numpy()[rows] if rows else start, "lo": start + np.array(lo, np.int64), "hi": start + np.array(hi, np.int64)})
+    n = copies[rows] if rows else np.empty(0, np.int64)
+    who, row, start = (np.concatenate([np.empty(0, np.int64), *[own[i] for i in rows]]) for own in (pdf["who"].tolist(), pdf["row"].tolist(), pdf["start"].tolist()))
+    return pd.DataFrame({"who": who, "row": row, "lo": start + np.repeat(np.array(lo, np.int64), n), "hi": start + np.repeat(np.array(hi, np.int64), n)})
 
 
 def _spans(contexts: DataFrame, width: int) -> DataFrame:
     """Contexts dealt and sorted by anchor, whole groups of them judged together."""
-    kind = dict(contexts.dtypes)["id"]
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -229,7 +239,7 @@ def _spans(contexts: DataFrame, width: int) -> DataFrame:
             yield repeated_spans(pd.concat(held, ignore_index=True), width)
 
     dealt = contexts.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return dealt.mapInPandas(run, f"id {kind}, row long, lo long, hi long")
+    return dealt.mapInPandas(run, "who long, row long, lo long, hi long")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -245,7 +255,7 @@ def _merged(spans) -> list[tuple[int, int]]:
 def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_ANCHORS) -> DataFrame:
     """id, the kept bytes (`kept`), n_bytes, n_removed and the removed spans for every row of docs."""
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.lit(29)).alias("who"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     anchors = staged(repeated_anchors(rows, width), "anchors")
     if anchors.count() <= broadcast:
         known = np.sort(anchors.toPandas()["anchor"].to_numpy(dtype=np.int64))
@@ -254,8 +264,8 @@ def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text
         contexts = _contexts(rows, width, None).join(anchors, "anchor")
     spans = staged(_spans(contexts, width).distinct(), "spans")
     dropped(anchors)
-    found = spans.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    both = rows.alias("r").join(found.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.row") == F.col("f.row")), "left").select("r.id", "r.text", "f.spans")
+    found = spans.groupBy("who", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    both = rows.join(found, ["who", "row"], "left").select("id", "text", "spans")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, removed, counts = [], [], []

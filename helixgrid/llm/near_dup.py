@@ -12,15 +12,17 @@ over 39 with a probability of 3e-6; pairs above 0.8 are safer still.
 Every candidate is confirmed on its full sets.
 
 Within a bucket not all pairs are made: each member is first tried against the
-bucket's smallest member. Confirmed links are contracted to components, and
+bucket's busiest member (the one that meets most others in all its buckets,
+which the original of many copies does). Confirmed links are contracted to components, and
 only members of one bucket that are still in different components are compared
-with each other, in blocks of bounded size; what passes the signature bound is
+with each other, in blocks of bounded size; what passes the signature bound and an
+upper bound of the intersection (counts of shingles in hashed parts) is
 confirmed on full sets again. Components, not links, are the result, so pairs
 already connected need no test and no link between different texts is lost.
 
 Defined cases: documents without a shingle (null, empty, white space) are
 their own component; equal sets are linked through their class before any
-search; repeated ids share a component; rows with a null id are kept, with a
+search; rows that share an id share a component, and the one of most shingles is searched; rows with a null id are kept, with a
 null component; an empty table gives an empty result.
 """
 
@@ -37,6 +39,8 @@ from .components import connected_components
 SLOTS, WIDTH = 100, 5
 CHUNKS = SLOTS // WIDTH
 BOUND = 2 * CHUNKS - 1
+KEY_BITS = 8 * (WIDTH - 1)
+SPREAD = 256
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 
@@ -66,8 +70,21 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mix64(out) >> U64(56)).astype(np.uint8).tobytes()
 
 
+def spread(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of SPREAD parts; all 255 where one byte does not hold it."""
+    n = np.bincount((mix64(shingles + U64(5)) & U64(SPREAD - 1)).astype(np.int64), minlength=SPREAD)
+    return (np.full(SPREAD, 255) if n.max() > 254 else n).astype(np.uint8).tobytes()
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of two spreads: whether the sets can reach the similarity. Sets share at most the smaller number in each part, so none that does is refused."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    most = np.where(most == 255 * SPREAD, np.minimum(nx, ny), most)
+    return (100 + percent) * most >= percent * (nx + ny)
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n_shingles, two words of a hash of the whole set, and the signature."""
+    """key, n_shingles, two words of a hash of the whole set, the signature and the spread."""
 
     def run(batches):
         known = WordHashes()
@@ -76,11 +93,11 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for t in pdf["text"]:
                 s = shingle_hashes(known.of(split_words(t, lower=True)), size)
                 with np.errstate(over="ignore"):
-                    rows.append((len(s), int(np.bitwise_xor.reduce(s).astype(np.int64)) if len(s) else 0, int(mix64(s + U64(11)).sum().astype(np.int64)) if len(s) else 0, signature(s) if len(s) else b""))
-            yield pd.DataFrame({"key": pdf["key"].array, "n_shingles": [r[0] for r in rows], "set_a": [r[1] for r in rows], "set_b": [r[2] for r in rows], "sig": [r[3] for r in rows]})
+                    rows.append((len(s), int(np.bitwise_xor.reduce(s).astype(np.int64)) if len(s) else 0, int(mix64(s + U64(11)).sum().astype(np.int64)) if len(s) else 0, signature(s) if len(s) else b"", spread(s) if len(s) else b""))
+            yield pd.DataFrame({"key": pdf["key"].array, "n_shingles": [r[0] for r in rows], "set_a": [r[1] for r in rows], "set_b": [r[2] for r in rows], "sig": [r[3] for r in rows], "spread": [r[4] for r in rows]})
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_shingles long, set_a long, set_b long, sig binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_shingles long, set_a long, set_b long, sig binary, spread binary")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -94,10 +111,17 @@ def _keys(sig: np.ndarray) -> np.ndarray:
             if j != gone:
                 k = (k << U64(8)) | s[:, :, j]
         out[:, :, gone] = k
-    mark = np.arange(SLOTS, dtype=U64).reshape(1, CHUNKS, WIDTH) << U64(8 * (WIDTH - 1))
+    mark = np.arange(SLOTS, dtype=U64).reshape(1, CHUNKS, WIDTH) << U64(KEY_BITS)
     return (out | mark).reshape(rows, SLOTS)
 
 
+def _first_key(same: np.ndarray) -> np.ndarray:
+    """(pairs, SLOTS) equal symbols -> the number of the first key of _keys that the pair shares."""
+    chunks = same.reshape(-1, CHUNKS, WIDTH)
+    first = np.argmax(chunks.sum(axis=2) >= WIDTH - 1, axis=1)
+    return first * WIDTH + np.argmin(chunks[np.arange(len(chunks)), first], axis=1)
+
+
 def _index(reps: DataFrame) -> DataFrame:
     """(bucket, id) for each of the SLOTS keys of each representative."""
 
@@ -131,17 +155,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
 
 
-def _near(a: str, b: str) -> F.Column:
-    """Symbols that differ between two signatures, at most BOUND; sizes must allow the similarity too."""
+def _near(percent: int) -> F.Column:
+    """Whether at most BOUND symbols of two signatures differ and their spreads allow the similarity."""
 
     @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+    def near(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
         p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), SLOTS) for s in (x, y))
-        return pd.Series((p != q).sum(axis=1) <= BOUND)
+        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), SPREAD) for s in (sx, sy))
+        return pd.Series(((p != q).sum(axis=1) <= BOUND) & may_reach(u, v, nx.to_numpy(), ny.to_numpy(), percent))
 
-    return near(F.col(a), F.col(b))
+    return near(*map(F.col, ("sa", "sb", "na", "nb", "pa", "pb")))
 
 
 def _sizes_allow(percent: int) -> F.Column:
@@ -151,47 +176,79 @@ def _sizes_allow(percent: int) -> F.Column:
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components that pass the signature bound.
 
-    members: bucket, id, component, n, sig, seat (its place in the bucket), seats.
-    A bucket of many blocks is dealt as pairs of blocks, so a task holds two blocks at most.
+    members: bucket, id, component, n, sig, spread, seat (its place in the bucket), seats.
+    A bucket of many blocks is dealt as pairs of blocks, so two blocks at most are held together.
     """
     blocks = F.ceil(F.col("seats") / F.lit(BLOCK)).cast("int")
     own = F.floor(F.col("seat") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        left, right = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
-        p, q = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), SLOTS) for x in (left, right))
-        lc, rc, ln, rn, li, ri = (f(x) for x in ("component", "n", "id") for f in (lambda c: left[c].to_numpy(), lambda c: right[c].to_numpy()))
-        a, b = [], []
-        for i in range(len(left)):
-            may = (rc != lc[i]) & (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i]))
-            if low == high:
-                may[: i + 1] = False
-            may = np.flatnonzero(may)
-            may = may[(q[may] != p[i]).sum(axis=1) <= BOUND]
-            a.append(np.full(len(may), li[i]))
-            b.append(ri[may])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+        """Rows in group order: each is compared with the d-th after it, for every d that stays in the group, all groups at once."""
+        mark, low, high, own = (pdf[c].to_numpy() for c in ("bucket", "low", "high", "own"))
+        change = np.r_[True, (mark[1:] != mark[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+        group = np.cumsum(change)
+        end = np.r_[np.flatnonzero(change)[1:], len(pdf)][group - 1]
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), SLOTS)
+        parts = np.frombuffer(b"".join(pdf["spread"]), np.uint8).reshape(len(pdf), SPREAD)
+        component, n, ids = (pdf[c].to_numpy() for c in ("component", "n", "id"))
+        a, b, d = [], [], 1
+        rows = np.flatnonzero(np.arange(len(pdf)) + 1 < end)
+        while len(rows):
+            other = rows + d
+            may = (component[rows] != component[other]) & ((own[rows] != own[other]) | (low[rows] == high[rows])) & (100 * np.minimum(n[rows], n[other]) >= percent * np.maximum(n[rows], n[other]))
+            x, y = rows[may], other[may]
+            same = sig[x] == sig[y]
+            near = np.flatnonzero((SLOTS - same.sum(axis=1) <= BOUND))
+            # Pairs meet in many buckets; the first key that they share reports them.
+            near = near[_first_key(same[near]) == mark[x[near]] >> KEY_BITS]
+            near = near[may_reach(parts[x[near]], parts[y[near]], n[x[near]], n[y[near]], percent)]
+            a.append(ids[x[near]])
+            b.append(ids[y[near]])
+            d += 1
+            rows = rows[rows + d < end[rows]]
+        a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            mark, low, high = (pdf[c].to_numpy() for c in ("bucket", "low", "high"))
+            same = (mark == mark[-1]) & (low == low[-1]) & (high == high[-1])
+            cut = int(np.argmax(same))
+            if cut or (held and tuple(held[-1][["bucket", "low", "high"]].iloc[-1]) != (mark[-1], low[-1], high[-1])):
+                yield compare(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield compare(pd.concat(held, ignore_index=True))
+
+    keys = ("bucket", "low", "high")
+    sorted_ = dealt.select(*keys, "own", "id", "component", "n", "sig", "spread").repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_.mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept for every document. key must be an integer."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     marks = staged(signatures(rows, "id", "text", shingle).withColumnRenamed("key", "id"), "signatures")
-    known = marks.where("id is not null and n_shingles > 0")
-    # Equal sets are one class; its smallest id stands for it. Repeated ids tie their classes together.
-    classes = staged(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("members")), "classes")
-    reps = classes.select("id", F.col("n_shingles").alias("n"), "sig").groupBy("id").agg(F.max(F.struct("n", "sig")).alias("s")).select("id", "s.n", "s.sig")
-    index = staged(_index(classes), "index")
-    buckets = index.groupBy("bucket").agg(F.count("*").alias("seats"), F.min("id").alias("pivot")).where("seats > 1")
-    shared = staged(index.join(buckets, "bucket"), "buckets")
-    tries = shared.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sized = tries.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-    tries = sized.where(_sizes_allow(percent)).where(_near("sa", "sb")).select("a", "b")
+    best = F.max(F.struct("n_shingles", "set_a", "set_b", "sig", "spread"))
+    known = marks.where("id is not null and n_shingles > 0").groupBy("id").agg(best.alias("m")).select("id", "m.*")
+    # Equal sets are one class; its smallest id stands for it.
+    classes = staged(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("spread").alias("spread")), "classes")
+    reps = classes.select("id", F.col("n_shingles").alias("n"), "sig", "spread")
+    index = _index(classes)
+    buckets = index.groupBy("bucket").agg(F.count("*").alias("seats")).where("seats > 1")
+    met = staged(index.join(buckets, "bucket"), "buckets")
+    # A text that the others are copies of meets more members than they do: the bucket's busiest member is its pivot.
+    busy = met.groupBy("id").agg(F.sum(F.col("seats") - 1).alias("busy"))
+    pivots = met.join(busy, "id").groupBy("bucket").agg(F.max(F.struct("busy", (-F.col("id")).alias("id"))).alias("p")).select("bucket", (-F.col("p.id")).alias("pivot"))
+    shared = staged(met.join(pivots, "bucket"), "pivots")
+    tries = shared.where("pivot <> id").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    sized = tries.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("spread").alias("pb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("spread").alias("pa")), "a")
+    tries = sized.where(_sizes_allow(percent)).where(_near(percent)).select("a", "b")
     texts = rows.where("id is not null")
     first = staged(_similar(tries, texts, shingle, percent), "links")
     joined = connected_components(first)

@@ -23,7 +23,8 @@ from .sequences import discover, local_path
 
 # Fixed values of the format: magic, version, header and row layouts (little-endian).
 MAGIC, VERSION = b"RKDB", 2
-HEADER = struct.Struct("<4sHBxxxQB7xQQ")
+HEADER = "<4sHBxxxQB7xQQ"
+HEADER_BYTES = struct.calcsize(HEADER)
 SORTED, CANONICAL = 1, 2
 ROW = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("count", "<u4")])
 ROWS_PER_PARTITION = 2_000_000
@@ -35,19 +36,19 @@ class Header:
     rows: int
     sorted: bool
     canonical: bool
-    offset: int = HEADER.size
+    offset: int = HEADER_BYTES
 
     def pack(self) -> bytes:
-        return HEADER.pack(MAGIC, VERSION, self.k, self.rows, SORTED * self.sorted | CANONICAL * self.canonical, self.offset, 0)
+        return struct.pack(HEADER, MAGIC, VERSION, self.k, self.rows, SORTED * self.sorted | CANONICAL * self.canonical, self.offset, 0)
 
 
 def read_header(path: str) -> Header:
     """The header of a file, from its first bytes alone."""
     with open(local_path(path), "rb") as f:
-        data = f.read(HEADER.size)
-    if len(data) < HEADER.size:
+        data = f.read(HEADER_BYTES)
+    if len(data) < HEADER_BYTES:
         raise TableError(f"{path} is too short for a header")
-    magic, version, k, rows, flags, offset, _ = HEADER.unpack(data)
+    magic, version, k, rows, flags, offset, _ = struct.unpack(HEADER, data)
     if magic != MAGIC:
         raise TableError(f"{path} is not a binary table")
     if version != VERSION:

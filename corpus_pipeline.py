@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixgrid.llm import mixing, near_dup, packing, rules, substring_dedup
-from helixgrid.llm.common import staged
+from helixgrid.llm.common import WORD, staged
 from helixgrid.llm.queries import table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,28 +21,47 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows without an id apart by their text."""
+    return docs.select(*COLUMNS, F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("_key"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or that a learned rule rejects go."""
+    """Documents that fail the base or that a learned rule rejects go. Rows without an id go only if all such rows do."""
     return _of(docs, rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates stays (five-word shingles, 0.8)."""
-    return _of(docs, near_dup.near_duplicates(docs).where("kept"))
+    """The document of the smallest id of each group of near-duplicates stays (five-word shingles, 0.8).
+
+    Rows that share an id (or have none) are compared by text, and one of those with equal texts stays.
+    """
+    found = staged(near_dup.near_duplicates(docs), "near-duplicates")
+    kept = _of(docs, found.where("kept"))
+    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 200 bytes or more that occur elsewhere are cut out; documents left without a word go."""
-    cut = substring_dedup.substring_dedup(docs, PASSAGE_BYTES).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.decode(F.col("kept"), F.lit("utf-8")).alias("_text"))
-    both = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).where("_text is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*COLUMNS)
+    """Bytes of strings of PASSAGE_BYTES or more that occur elsewhere are cut out; documents left without a word go."""
+    keyed = _keyed(docs)
+    cut = substring_dedup.substring_dedup(keyed, PASSAGE_BYTES, key="_key", decoded=True).where("n_removed > 0")
+    cut = cut.select(F.col("_key").alias("_cut"), F.col("kept").alias("_text")).dropDuplicates(["_cut"])
+    both = keyed.join(cut, F.col("_key") == F.col("_cut"), "left")
+    text = F.when(F.col("_cut").isNotNull(), F.col("_text")).otherwise(F.col("text"))
+    rest = both.withColumn("text", text).where(F.col("_cut").isNull() | F.col("text").rlike(WORD))
+    return rest.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    times = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    keyed = _keyed(docs)
+    times = mixing.mix(keyed, key="_key").where("times > 0").select(F.col("_key").alias("_took"), "times").dropDuplicates(["_took"])
+    taken = keyed.join(times, F.col("_key") == F.col("_took"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

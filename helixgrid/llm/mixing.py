@@ -54,11 +54,11 @@ def fit_targets(sizes: list[int], weights: list[int], share: float = 1.5, most:
 
 
 def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their sum comes closest to the budget without passing it.
+    """How many documents of each size to take so that their sum comes as near to the budget as can be.
 
-    sizes ascending and positive. The proportional and greedy parts leave a small budget; a bounded
-    knapsack (counts split in powers of two, reachable sums as bits of one integer) fits that exactly
-    as far as the documents left allow.
+    sizes ascending and positive. Up to EXACT words in all, the knapsack decides alone and the result is the
+    best there is. Above, the proportional and greedy parts leave a small budget; the bounded knapsack (counts
+    split in powers of two, reachable sums as bits of one integer) fits that with the documents left.
     """
     sizes, counts = sizes.astype(object), counts.astype(object)
     total = int((sizes * counts).sum()) if len(sizes) else 0
@@ -66,27 +66,28 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total for c in counts], object)
-    rest = budget - int((sizes * take).sum())
-    for i in range(len(sizes) - 1, -1, -1):
-        # Largest first, as long as the knapsack has small documents left to end with.
-        more = min(int(counts[i] - take[i]), max(0, rest - EXACT // 2) // int(sizes[i]))
-        take[i] += more
-        rest -= more * int(sizes[i])
-    # Give some of each size back, so that the knapsack can also choose otherwise.
-    room = EXACT - rest
-    for i in range(len(sizes)):
-        back = min(int(take[i]), 2)
-        if back and back * int(sizes[i]) <= room // 8:
-            take[i] -= back
-            rest += back * int(sizes[i])
-            room -= back * int(sizes[i])
-    if rest <= 0:
-        return take.astype(np.int64)
-    full = (1 << (rest + 1)) - 1
+    take = np.zeros(len(sizes), object)
+    rest = budget
+    if total > EXACT:
+        take += np.array([int(c) * budget // total for c in counts], object)
+        rest -= int((sizes * take).sum())
+        for i in range(len(sizes) - 1, -1, -1):
+            # Largest first, as long as the knapsack has small documents left to end with.
+            more = min(int(counts[i] - take[i]), max(0, rest - EXACT // 2) // int(sizes[i]))
+            take[i] += more
+            rest -= more * int(sizes[i])
+        # Give some of each size back, so that the knapsack can also choose otherwise.
+        room = EXACT - rest
+        for i in range(len(sizes)):
+            back = min(int(take[i]), 2)
+            if back and back * int(sizes[i]) <= room // 8:
+                take[i] -= back
+                rest += back * int(sizes[i])
+                room -= back * int(sizes[i])
+    full = (1 << (rest + int(sizes[-1]) + 1)) - 1
     reach, parts = 1, []
     for i in range(len(sizes) - 1, -1, -1):
-        n, k = min(int(counts[i] - take[i]), rest // int(sizes[i])), 1
+        n, k = min(int(counts[i] - take[i]), rest // int(sizes[i]) + 1), 1
         while n > 0:
             k = min(k, n)
             grown = (reach | reach << (k * int(sizes[i]))) & full
@@ -97,7 +98,9 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             k *= 2
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    low, high = (reach & (1 << (rest + 1)) - 1).bit_length() - 1, reach >> rest
+    over = (high & -high).bit_length() - 1 if high else -1
+    at = rest + over if 0 <= over < rest - low else low
     for i, k, before in reversed(parts):
         if not before >> at & 1:
             take[i] += k

@@ -233,7 +233,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id") -> DecisionList:
     """Learns from at most about `sample` labelled documents (quality 0 is the bad class)."""
     marked = sampled(labels.select(F.col(key), F.col("quality")).where("quality is not null").dropDuplicates([key]), key, sample)
-    rows = stats.join(marked, key).select("quality", *[F.expr(s).alias(n) for n, s in FEATURES.items()]).orderBy(*FEATURES, "quality").toPandas()
+    rows = stats.join(marked, key).select("quality", *[F.expr(s).alias(n) for n, s in FEATURES.items()]).toPandas().sort_values([*FEATURES, "quality"], ignore_index=True)
     bad = rows["quality"].to_numpy() == 0
     if not len(rows) or not bad.any() or bad.all():
         return DecisionList(())

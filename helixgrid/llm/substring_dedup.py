@@ -13,7 +13,9 @@ text under the windows they stand for goes to the task of that anchor, where
    which windows occur twice.
 
 Texts of more than one copy are repeated as a whole, and still stand in the
-suffix array as partners of the others.
+suffix array as partners of the others. Anchors of very many contexts are cut
+to what occurs twice by counting window hashes first (_hot_spans), so that
+only distinct repeated texts meet in a task.
 
 Defined cases: null text is empty; documents shorter than WIDTH keep all;
 repeated rows count as other places, so each loses what both hold; null and
@@ -35,6 +37,8 @@ from .common import U64, dropped, mapped, slices, staged
 from .lyndon import repeated_windows
 
 GRAM = 64
+#: Elections of one anchor beyond which its contexts are sieved before they meet in one task.
+HOT = 20_000
 #: Repeated anchors that are sent to every task as one sorted array of 8 bytes each; beyond it they are joined.
 BROADCAST_ANCHORS = 1_000_000
 _P = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
@@ -105,14 +109,14 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 
 
 def repeated_anchors(rows: DataFrame, width: int) -> DataFrame:
-    """Anchors elected in two places or more, over all rows."""
+    """anchor, n: anchors elected in two places or more, over all rows, and how often."""
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [a[1] for _, _, _, a in _pieces(_bytes(pdf["text"]), width)]
         keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return pd.DataFrame({"anchor": keys, "n": np.minimum(n, 2)})
+        return pd.DataFrame({"anchor": keys, "n": n})
 
-    return mapped(rows.select("text"), batch, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return mapped(rows.select("text"), batch, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -122,6 +126,11 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
+def _objects(values: list) -> pd.Series:
+    """A column of arrays or bytes, typed alike when it is empty."""
+    return pd.Series(values, dtype=object)
+
+
 CONTEXT = "anchor long, head int, windows int, body binary, who array<long>, row array<long>, start array<long>"
 
 
@@ -147,8 +156,8 @@ def _contexts(rows: DataFrame, width: int, known: np.ndarray | None) -> DataFram
                 found.setdefault(key, []).append((own, start))
         keys, refs = list(found), [np.array(x, np.int64) for x in found.values()]
         return pd.DataFrame({
-            "anchor": [k[0] for k in keys], "head": [k[1] for k in keys], "windows": [k[2] for k in keys], "body": [k[3] for k in keys],
-            "who": [who[x[:, 0]] for x in refs], "row": [row[x[:, 0]] for x in refs], "start": [x[:, 1] for x in refs],
+            "anchor": [k[0] for k in keys], "head": [k[1] for k in keys], "windows": [k[2] for k in keys], "body": _objects([k[3] for k in keys]),
+            "who": _objects([who[x[:, 0]] for x in refs]), "row": _objects([row[x[:, 0]] for x in refs]), "start": _objects([x[:, 1] for x in refs]),
         })
 
     return mapped(rows.select("who", "row", "text"), batch, CONTEXT)
@@ -242,6 +251,51 @@ def _spans(contexts: DataFrame, width: int) -> DataFrame:
     return dealt.mapInPandas(run, "who long, row long, lo long, hi long")
 
 
+def _named(df: DataFrame, a: str, b: str, *columns: str) -> DataFrame:
+    """df with two 64-bit hashes of the columns."""
+    return df.withColumn(a, F.xxhash64(*columns)).withColumn(b, F.xxhash64(F.lit(31), *columns))
+
+
+def _hot_spans(contexts: DataFrame, width: int) -> DataFrame:
+    """As _spans, for anchors of any number of contexts: no task holds the contexts of an anchor.
+
+    Equal contexts become one by aggregation. Each window's hash is counted over all contexts (combined before
+    the shuffle), and contexts are cut to the runs of windows that occur twice. What remains are few distinct
+    texts with their numbers; the suffix arrays are built on those, and their answer is joined back.
+    """
+    named = _named(contexts, "c1", "c2", "anchor", "head", "windows", "body")
+    places = named.select("c1", "c2", F.explode(F.arrays_zip("who", "row", "start")).alias("p")).select("c1", "c2", "p.who", "p.row", "p.start")
+    places = staged(places, "hot-places")
+    single = named.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("anchor", "head", "windows", "body")], F.sum(F.size("start")).alias("n"))
+    single = staged(single, "hot-contexts")
+
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        from xxhash import xxh3_64_intdigest
+
+        each = pdf["windows"].to_numpy()
+        at = np.concatenate([np.empty(0, np.int64), *map(np.arange, each)])
+        hashes = np.array([xxh3_64_intdigest(b[i : i + width]) for b, w in zip(pdf["body"], each, strict=True) for i in range(w)], U64).astype(np.int64)
+        return pd.DataFrame({"c1": np.repeat(pdf["c1"].to_numpy(), each), "c2": np.repeat(pdf["c2"].to_numpy(), each), "at": at, "h": hashes, "n": np.repeat(pdf["n"].to_numpy(), each)})
+
+    every = mapped(single.select("c1", "c2", "windows", "body", "n"), windows, "c1 long, c2 long, at int, h long, n long")
+    twice = every.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h")
+    kept = every.join(twice, "h").groupBy("c1", "c2").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(c1, c2, n, anchor, head - a, b - a + 1, body[a : b + width], a) for c1, c2, n, anchor, head, body, ats in zip(*(pdf[c] for c in ("c1", "c2", "n", "anchor", "head", "body", "ats")), strict=True) for a, b in _runs(list(ats))]
+        return pd.DataFrame(rows, columns=["c1", "c2", "n", "anchor", "head", "windows", "body", "shift"])
+
+    runs = mapped(single.join(kept, ["c1", "c2"]).select("c1", "c2", "n", "anchor", "head", "body", "ats"), cut, "c1 long, c2 long, n long, anchor long, head int, windows int, body binary, shift int")
+    runs = staged(_named(runs, "t1", "t2", "anchor", "head", "body"), "hot-runs")
+    texts = runs.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("anchor", "head", "windows", "body")], F.sum("n").alias("n"))
+    # A text of several copies names itself twice, which is all that the groups ask.
+    twofold = lambda c: F.when(F.col("n") > 1, F.array(c, c)).otherwise(F.array(c))
+    found = _spans(texts.select("anchor", "head", "windows", "body", twofold(F.col("t1")).alias("who"), twofold(F.col("t2")).alias("row"), twofold(F.lit(0).cast("long")).alias("start")), width)
+    found = found.distinct().select(F.col("who").alias("t1"), F.col("row").alias("t2"), "lo", "hi")
+    back = runs.select("t1", "t2", "c1", "c2", "shift").join(found, ["t1", "t2"]).join(places, ["c1", "c2"])
+    return back.select("who", "row", (F.col("start") + F.col("shift") + F.col("lo")).alias("lo"), (F.col("start") + F.col("shift") + F.col("hi")).alias("hi"))
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
@@ -252,23 +306,32 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_ANCHORS) -> DataFrame:
-    """id, the kept bytes (`kept`), n_bytes, n_removed and the removed spans for every row of docs."""
+def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_ANCHORS, hot: int = HOT, decoded: bool = False) -> DataFrame:
+    """id, the kept bytes (`kept`), n_bytes, n_removed and the removed spans for every row of docs.
+
+    decoded: kept is text, without the characters that a cut left incomplete; n_removed still counts bytes.
+    """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.lit(29)).alias("who"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     anchors = staged(repeated_anchors(rows, width), "anchors")
-    if anchors.count() <= broadcast:
-        known = np.sort(anchors.toPandas()["anchor"].to_numpy(dtype=np.int64))
-        contexts = _contexts(rows, width, known)
-    else:
-        contexts = _contexts(rows, width, None).join(anchors, "anchor")
-    spans = staged(_spans(contexts, width).distinct(), "spans")
+
+    def judged(some: DataFrame, how) -> DataFrame:
+        if some.count() <= broadcast:
+            known = np.sort(some.select("anchor").toPandas()["anchor"].to_numpy(dtype=np.int64))
+            return how(_contexts(rows, width, known), width)
+        return how(_contexts(rows, width, None).join(some.select("anchor"), "anchor"), width)
+
+    spans = judged(anchors.where(F.col("n") <= hot), _spans)
+    crowded = anchors.where(F.col("n") > hot)
+    if not crowded.isEmpty():
+        spans = spans.union(judged(crowded, _hot_spans))
+    spans = staged(spans.distinct(), "spans")
     dropped(anchors)
     found = spans.groupBy("who", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     both = rows.join(found, ["who", "row"], "left").select("id", "text", "spans")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, removed, counts = [], [], []
+        kept, removed, counts, lost = [], [], [], []
         for data, spans in zip(_bytes(pdf["text"]), pdf["spans"], strict=True):
             gone = _merged((s["lo"], s["hi"]) for s in spans) if spans is not None else []
             parts, at = [], 0
@@ -276,13 +339,14 @@ def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text
                 parts.append(data[at:lo])
                 at = hi
             parts.append(data[at:])
-            kept.append(b"".join(parts))
+            kept.append(b"".join(parts).decode("utf-8", "ignore") if decoded else b"".join(parts))
             removed.append([{"lo": lo, "hi": hi} for lo, hi in gone])
             counts.append(len(data))
-        return pd.DataFrame({"id": pdf["id"].array, "n_bytes": counts, "kept": kept, "removed": removed})
+            lost.append(sum(hi - lo for lo, hi in gone))
+        return pd.DataFrame({"id": pdf["id"], "n_bytes": counts, "n_removed": lost, "kept": kept, "removed": removed})
 
-    out = mapped(both, cut, f"id {kind}, n_bytes long, kept binary, removed array<struct<lo: long, hi: long>>")
-    return out.withColumnRenamed("id", key).withColumn("n_removed", F.col("n_bytes") - F.length("kept"))
+    out = mapped(both, cut, f"id {kind}, n_bytes long, n_removed long, kept {'string' if decoded else 'binary'}, removed array<struct<lo: long, hi: long>>")
+    return out.withColumnRenamed("id", key)
 
 
 def digest(data: bytes) -> str:

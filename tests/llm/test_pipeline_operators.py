@@ -174,9 +174,9 @@ def test_suffix_query(spark, sf):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_cut(docs_of(spark, sf), 400)
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_suffix_odd(spark, odd, none, broadcast):
-    rows = substring_dedup.substring_dedup(odd, 100, broadcast=broadcast).collect()
+@pytest.mark.parametrize("broadcast,hot", [(0, 10**6), (10**6, 10**6), (10**6, 0), (0, 0)])
+def test_suffix_odd(spark, odd, none, broadcast, hot):
+    rows = substring_dedup.substring_dedup(odd, 100, broadcast=broadcast, hot=hot).collect()
     assert digests(rows) == brute_cut([(r["doc_id"], r["text"]) for r in odd.collect()], 100)
     assert substring_dedup.substring_dedup(none, 100, broadcast=broadcast).count() == 0
 
@@ -185,8 +185,9 @@ def test_suffix_overlaps(spark):
     rng = random.Random(11)
     parts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 300))) for _ in range(40)]
     rows = [(i, "".join(rng.choice(parts)[rng.randrange(30) :] for _ in range(rng.randrange(1, 8)))) for i in range(120)]
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 120).collect()
-    assert digests(got) == brute_cut(rows, 120)
+    for hot in (substring_dedup.HOT, 3, 0):
+        got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 120, hot=hot).collect()
+        assert digests(got) == brute_cut(rows, 120)
 
 
 def test_suffix_array():
@@ -199,6 +200,14 @@ def test_suffix_array():
     assert repeated_windows(strings, 5) == [[i for i in range(26) if seen[s[i : i + 5]] > 1] for s in strings]
 
 
+def test_suffix_decoded(spark):
+    rows = [(1, "é" * 40 + "x" * 60 + "ü"), (2, "è" * 40 + "x" * 60 + "û"), (3, "plain é")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 61, decoded=True).collect()}
+    # The second byte of the last character before the run is shared where its first is not, and cut with it.
+    assert got[3]["kept"] == "plain é" and got[1]["n_removed"] == got[2]["n_removed"] > 0
+    assert all(ord(c) < 0xFFFD for r in got.values() for c in r["kept"])
+
+
 # --- mixing
 
 
@@ -214,7 +223,13 @@ def test_mix_query(spark, sf):
     for own in by.values():
         total = sum(r["size"] for r in own)
         assert all(r["source_size"] == total and r["target"] <= 2 * total + 1e-6 for r in own)
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(1, 0.01 * total)
+        # The sum is the nearest that whole documents can reach.
+        whole = int(own[0]["target"] // total) if total else 0
+        reach = 1
+        for r in own:
+            reach |= reach << r["size"]
+        best = min((abs(whole * total + i - own[0]["target"]) for i in range(total + 1) if reach >> i & 1), default=0)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= best + 1
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in QUERIES["op5_source_mix"](spark, sf).collect()}
 
 
@@ -223,7 +238,7 @@ def test_targets_share_the_excess():
     assert t[0] == 20 and t[3] == 0 and abs(sum(t) - 1.5 * 2010) < 1e-9 and abs(t[2] - 2000) < 1e-9
 
 
-def test_subset_counts():
+def test_subset_counts(monkeypatch):
     rng = np.random.default_rng(8)
     for _ in range(200):
         sizes = np.unique(rng.integers(1, 400, rng.integers(1, 12)))
@@ -235,9 +250,15 @@ def test_subset_counts():
             reach = {r + k * s for r in reach for k in range(c + 1)}
         take = mixing.subset_counts(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
-        got = int((sizes * take).sum())
-        assert got <= budget and budget - got <= max(sizes) // 2 + 1
-        assert got <= max(r for r in reach if r <= budget)
+        assert abs(int((sizes * take).sum()) - budget) == min(abs(r - budget) for r in reach)
+    monkeypatch.setattr(mixing, "EXACT", 512)
+    for _ in range(100):
+        sizes = np.unique(rng.integers(1, 60, 20))
+        counts = rng.integers(1, 60, len(sizes))
+        budget = int(rng.integers(0, int((sizes * counts).sum()) + 1))
+        take = mixing.subset_counts(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and abs(int((sizes * take).sum()) - budget) <= 2
+    monkeypatch.undo()
     big = mixing.subset_counts(np.arange(1, 5000), np.full(4999, 10**6), 3 * 10**12)
     assert abs(int((np.arange(1, 5000) * big).sum()) - 3 * 10**12) <= 1
 
@@ -339,3 +360,19 @@ def test_pipeline(spark, sf):
     assert seen[0] > seen[1] > seen[2]
     used, least = check_packing(corpus_pipeline.run(spark, sf).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
     assert used <= 1.02 * least + 1
+
+
+def test_pipeline_odd_and_empty(spark, odd, none, tmp_path):
+    """Rows without an id, repeated rows and nulls pass every stage, and no row is multiplied before the mix."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, none):
+        docs = spark.createDataFrame(docs.select(*corpus_pipeline.COLUMNS).collect(), ", ".join(f"{n} {t}" for n, t in docs.select(*corpus_pipeline.COLUMNS).dtypes))
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            before = docs.count()
+            docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+            assert docs.count() <= (2 if n == 3 else 1) * before
+            if n == 1:
+                assert docs.count() == docs.select("doc_id", "text").distinct().count()
+        check_packing(corpus_pipeline.packed(spark, docs, str(tmp_path)).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import explode_windows
+from .windows import explode_windows, window_summary
 
 #: The largest count that the binary table format holds.
 CEILING = 4_294_967_295
@@ -20,6 +20,12 @@ def count_words(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq"
     return explode_windows(df, k, canonical, seq).groupBy("kmer").agg(F.count("*").alias("count"))
 
 
+def file_report(sequences: DataFrame, k: int, seq: str = "seq", file: str = "file") -> DataFrame:
+    """file, records, emitted, skipped: what each input file gives to a count."""
+    per = window_summary(sequences, k, seq, (file,))
+    return per.groupBy(file).agg(F.count("*").alias("records"), F.sum("emitted").alias("emitted"), F.sum("skipped").alias("skipped"))
+
+
 def check_bounds(least: int | None = None, most: int | None = None) -> None:
     if least is not None and least < 0:
         raise ValueError("the least count must not be negative")

@@ -254,6 +254,13 @@ def search_batch(table: DataFrame, queries: list[FuzzyQuery]) -> DataFrame:
     return every.join(per, "query_id", "left").select("query_id", "query_string", "variants_generated", "mutations", F.coalesce("_sum", F.lit(0)).alias("total_matches"), F.coalesce("_n", F.lit(0)).alias("matched_kmers"), "status")
 
 
+def near_words(words: DataFrame, query: str, distance: int, word: str = "kmer") -> DataFrame:
+    """The words within a distance of a query, with their distance; other lengths never are. A scan, for tables small or unindexed."""
+    from ..functions.sequence import hamming
+
+    return words.withColumn("distance", hamming(F.col(word), F.lit(query))).where(F.col("distance") <= distance)
+
+
 def matches_by_distance(found: DataFrame, distance: int) -> DataFrame:
     return found.where(F.col("distance") == distance)
 

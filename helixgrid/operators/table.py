@@ -8,6 +8,7 @@ the words, so frequent prefixes are split.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from dataclasses import dataclass, field, replace
@@ -27,6 +28,21 @@ class TableError(ValueError):
     """Tables that are damaged, empty where that is an error, or do not fit together."""
 
 
+def _row_sum(rows: DataFrame) -> F.Column:
+    """An aggregate over rows that does not depend on their order."""
+    return F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("rows")
+
+
+def _digest(n: int, total) -> str:
+    return hashlib.sha256(f"{n}:{total}".encode()).hexdigest()
+
+
+def checksum(rows: DataFrame) -> str:
+    """A digest of a table's rows that does not depend on their order or files."""
+    r = rows.agg(F.count("*").alias("n"), _row_sum(rows)).first()
+    return _digest(r["n"], r["rows"])
+
+
 @dataclass(frozen=True)
 class KmerTable:
     """rows: kmer STRING, count BIGINT, each word once."""
@@ -84,18 +100,23 @@ class KmerTable:
         if not allow_empty and self.rows.isEmpty():
             raise TableError("the table has no rows")
         rows.sortWithinPartitions("kmer").write.mode("errorifexists").parquet(f"{path}/data")
-        written = self.spark.read.parquet(f"{path}/data").agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("s")).first()
-        meta = {"format": FORMAT, "k": self.k, "canonical": self.canonical, "sorted": True, "distinct_kmers": written["n"], "total_kmers": written["s"], "created_at": int(time.time()), "source_files": list(self.sources), "custom": self.custom}
+        written = self.spark.read.parquet(f"{path}/data")
+        totals = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("s"), _row_sum(written)).first()
+        meta = {"format": FORMAT, "k": self.k, "canonical": self.canonical, "sorted": True, "distinct_kmers": totals["n"], "total_kmers": totals["s"], "checksum": _digest(totals["n"], totals["rows"]), "created_at": int(time.time()), "source_files": list(self.sources), "custom": self.custom}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata.json")
         return KmerTable.load(self.spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, check: bool = False) -> KmerTable:
-        """Reads a saved table; check compares the number of rows with the metadata."""
+        """Reads a saved table; check compares the number of rows and the checksum with the metadata."""
         meta = read_metadata(spark, path)
         rows = spark.read.schema("kmer string, count long").parquet(f"{path}/data")
-        if check and rows.count() != meta["distinct_kmers"]:
-            raise TableError(f"{path} does not have the {meta['distinct_kmers']} rows of its metadata")
+        if check:
+            found = rows.agg(F.count("*").alias("n"), _row_sum(rows)).first()
+            if found["n"] != meta["distinct_kmers"]:
+                raise TableError(f"{path} does not have the {meta['distinct_kmers']} rows of its metadata")
+            if "checksum" in meta and _digest(found["n"], found["rows"]) != meta["checksum"]:
+                raise TableError(f"the rows of {path} do not match its checksum")
         return cls(rows, meta["k"], meta["canonical"], meta["sorted"], tuple(meta["source_files"]), dict(meta["custom"]))
 
     # -- reading --------------------------------------------------------------------------------

@@ -7,14 +7,13 @@ in memory. Both use the same columns.
 from __future__ import annotations
 
 import csv
-import hashlib
 import io
 import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.table import KmerTable
+from ..operators.table import KmerTable, checksum
 
 
 def _line() -> F.Column:
@@ -105,7 +104,4 @@ def format_count(word: str, count: int, kind: str = "compact") -> str:
     return json.dumps({"kmer": word, "count": count}) if kind == "json" else f"k-mer: {word}, count: {count}" if kind == "verbose" else f"{word}\t{count}"
 
 
-def checksum(df: DataFrame) -> str:
-    """A digest of a table's rows that does not depend on their order or files."""
-    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha256(f"{r['n']}:{r['s']}".encode()).hexdigest()
+__all__ = ["FORMATS", "as_json", "as_rows", "as_separated", "as_table", "checksum", "dump_lines", "format_count", "format_kmer", "formatted", "summary_text", "table_json", "text_lines", "write_csv", "write_json", "write_text"]

@@ -31,6 +31,12 @@ def test_count(spark, seqs, k, canonical):
     assert pairs(KmerTable.count(seqs, k, canonical).rows) == counts(k, canonical)
 
 
+def test_file_report(spark, seqs):
+    rows = counting.file_report(seqs.withColumn("file", F.when(F.col("record_id") < 2, "a").otherwise("b")), 5).collect()
+    want = {f: (len(own), sum(len(naive(s, 5, False)) for s in own), sum(max(0, len(s) - 4) for s in own)) for f, own in (("a", SEQS[:2]), ("b", SEQS[2:]))}
+    assert {r["file"]: (r["records"], r["emitted"], r["emitted"] + r["skipped"]) for r in rows} == want
+
+
 def test_filters_and_reports(spark, seqs):
     t, want = KmerTable.count(seqs, 3), counts(3, False)
     kept = {w: n for w, n in want.items() if 2 <= n <= 5}
@@ -146,6 +152,10 @@ def test_save_and_load(spark, seqs, tmp_path):
     assert pairs(saved.rows) == counts(5, True) and saved.sorted and saved.is_sorted()
     back = KmerTable.load(spark, path, check=True)
     assert back.k == 5 and back.canonical and back.size == len(counts(5, True))
+    spark.createDataFrame([("AAAAA", 7)], "kmer string, count long").write.mode("append").parquet(str(tmp_path / "t" / "data"))
+    with pytest.raises(TableError):
+        KmerTable.load(spark, path, check=True)
+    back = saved = KmerTable.count(seqs, 5, True).save(str(tmp_path / "u"))
     order = sorted(counts(5, True).items())
     assert [(r["kmer"], r["count"]) for r in back.page(4, 2).collect()] == order[2:6] and back.entry(0) == order[0] and back.entry(10**6) is None
     assert int(back.page(1, as_hex=True).first()["kmer"], 16) == 0 or order[0][0] != "AAAAA"
@@ -195,6 +205,8 @@ def test_fuzzy_batch(spark, seqs):
     assert rows[0]["variants_generated"] == 16 and rows[0]["total_matches"] == sum(brute(want, "GATTA", 5, 1).values())
     found = t.fuzzy("GATTA", 2)
     assert {r["distance"] for r in fuzzy.matches_by_distance(found, 1).collect()} <= {1}
+    near = {r["kmer"]: r["distance"] for r in fuzzy.near_words(t.rows, "GATTA", 2).collect()}
+    assert near == {w: sum(a != b for a, b in zip(w, "GATTA", strict=True)) for w in want if sum(a != b for a, b in zip(w, "GATTA", strict=True)) <= 2}
     top = fuzzy.top_matches(found, 2).collect()
     assert [r["count"] for r in top] == sorted((r["count"] for r in found.collect()), reverse=True)[:2]
 

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, staged
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -192,30 +192,47 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
+def _archived(batches, version: int, most: int):
+    """Archives of about `most` bytes from batches of (key, url, html)."""
+    held: list[Record] = []
+    size = 0
+    for pdf in batches:
+        for k, u, h in zip(pdf["key"], pdf["url"], pdf["html"], strict=True):
+            payload = (h or "").encode("utf-8", "surrogatepass")
+            own = "" if pd.isna(k) else f"{ID_HEADER}: {int(k)}\r\n"
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
+            held.append(Record(u, "0.0.0.0", "20240101000000", "text/html", "200", head.encode() + payload))
+            size += len(held[-1].block)
+            if size >= most:
+                yield arc_bytes(held, version)
+                held, size = [], 0
+    if held:
+        yield arc_bytes(held, version)
+
+
+def _page_rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    # The id travels as text: a nullable integer would become a float in pandas.
+    return pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+
+
 def pages_to_arcs(pages: DataFrame, version: int = 1, most: int = 8 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows of pages -> rows of whole archives (`arc`) of about `most` bytes."""
 
     def run(batches):
-        held: list[Record] = []
-        size = 0
-        for pdf in batches:
-            arcs = []
-            for k, u, h in zip(pdf["key"], pdf["url"], pdf["html"], strict=True):
-                payload = (h or "").encode("utf-8", "surrogatepass")
-                own = "" if pd.isna(k) else f"{ID_HEADER}: {int(k)}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
-                held.append(Record(u, "0.0.0.0", "20240101000000", "text/html", "200", head.encode() + payload))
-                size += len(held[-1].block)
-                if size >= most:
-                    arcs.append(arc_bytes(held, version))
-                    held, size = [], 0
-            yield pd.DataFrame({"arc": arcs})
-        if held:
-            yield pd.DataFrame({"arc": [arc_bytes(held, version)]})
+        for arc in _archived(batches, version, most):
+            yield pd.DataFrame({"arc": [arc]})
+
+    return _page_rows(pages, key, url, html).mapInPandas(run, "arc binary")
 
-    # The id travels as text: a nullable integer would become a float in pandas.
-    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, "arc binary")
+
+def pages_to_records(pages: DataFrame, version: int = 1, most: int = 2 << 20, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Rows of pages -> the records of their archives: pages_to_arcs and arcs_to_records in one pass, an archive at a time."""
+
+    def run(batches):
+        for arc in _archived(batches, version, most):
+            yield _parsed(arc)
+
+    return _page_rows(pages, key, url, html).mapInPandas(run, RECORD)
 
 
 def read_arcs(spark: SparkSession, path: str) -> DataFrame:
@@ -239,29 +256,35 @@ def _inflated(data: bytes) -> bytes:
 RECORD = "id long, url string, ip string, date string, mime string, status string, digest string, block binary"
 
 
+def _parsed(arc: bytes) -> pd.DataFrame:
+    rows = []
+    for r in arc_records(arc):
+        http = r.http()
+        own = http and http[0].get(ID_HEADER.lower())
+        rows.append((own or None, r.url, r.ip, r.date, r.mime, r.status, sha1_base32(http[1] if http else r.block), r.block))
+    out = pd.DataFrame(rows, columns=["id", "url", "ip", "date", "mime", "status", "digest", "block"])
+    return out.assign(id=pd.array([None if x is None else int(x) for x in out["id"]], dtype="Int64"))
+
+
 def arcs_to_records(arcs: DataFrame) -> DataFrame:
     """Rows of whole archives -> rows of records with the payload's digest."""
 
     def run(batches):
         for pdf in batches:
             for arc in pdf["arc"]:
-                rows = []
-                for r in arc_records(arc):
-                    http = r.http()
-                    own = http and http[0].get(ID_HEADER.lower())
-                    rows.append((own or None, r.url, r.ip, r.date, r.mime, r.status, sha1_base32(http[1] if http else r.block), r.block))
-                out = pd.DataFrame(rows, columns=["id", "url", "ip", "date", "mime", "status", "digest", "block"])
-                yield out.assign(id=pd.array([None if x is None else int(x) for x in out["id"]], dtype="Int64"))
+                yield _parsed(arc)
 
     return arcs.select("arc").mapInPandas(run, RECORD)
 
 
 def write_warcs(records: DataFrame, path: str) -> None:
     """Writes WARC files; of records with equal payloads the one with the largest id is kept whole."""
-    chosen = records.select("digest", "id").groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
-    revisits = records.select("id", "digest").where("id is not null").join(chosen, "digest").where("id <> top").select("id", "digest", "top").distinct()
-    marked = records.where("id is not null").join(revisits, ["id", "digest"], "left").select("id", "url", "ip", "date", "mime", "status", "block", F.col("top").cast("string").alias("top"))
-    nameless = records.where("id is null").join(chosen, "digest", "left").select("id", "url", "ip", "date", "mime", "status", "block", F.col("top").cast("string").alias("top"))
+    # The digests are needed more than once, the blocks are not: they are parsed once for each.
+    seen = staged(records.select("id", "digest"), "digests")
+    chosen = seen.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
+    revisits = seen.join(chosen, "digest").where("id is null or id <> top").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "top").distinct()
+    same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
+    marked = records.join(revisits, same, "left").select(F.col("id").cast("string").alias("id"), "url", "ip", "date", "mime", "status", "block", F.col("top").cast("string").alias("top"))
 
     def run(batches):
         for pdf in batches:
@@ -270,8 +293,7 @@ def write_warcs(records: DataFrame, path: str) -> None:
                 rows.append(warc_bytes(Record(u, ip, d, m, s, bytes(b)), None if k is None else int(k), None if top is None else int(top))[:-1])
             yield pd.DataFrame({"value": rows})
 
-    every = marked.unionByName(nameless).withColumn("id", F.col("id").cast("string"))
-    every.mapInPandas(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    marked.mapInPandas(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archives.arcs_to_records(archives.pages_to_arcs(table(spark, sf_dir, "pages"), version=2))
+    records = archives.pages_to_records(table(spark, sf_dir, "pages"), version=2)
     path = new_path(spark, "warc")
     archives.write_warcs(records, path)
     return archives.read_warcs(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

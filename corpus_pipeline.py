@@ -47,13 +47,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of PASSAGE_BYTES or more that occur elsewhere are cut out; documents left without a word go."""
-    keyed = _keyed(docs)
-    cut = substring_dedup.substring_dedup(keyed, PASSAGE_BYTES, key="_key", decoded=True).where("n_removed > 0")
-    cut = cut.select(F.col("_key").alias("_cut"), F.col("kept").alias("_text")).dropDuplicates(["_cut"])
-    both = keyed.join(cut, F.col("_key") == F.col("_cut"), "left")
-    text = F.when(F.col("_cut").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    rest = both.withColumn("text", text).where(F.col("_cut").isNull() | F.col("text").rlike(WORD))
-    return rest.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    cut = substring_dedup.substring_dedup(docs, PASSAGE_BYTES, decoded=True, carry=("lang", "source", "n_chars")).withColumnRenamed("kept", "text")
+    whole = F.col("n_removed") == 0
+    rest = cut.where(whole | F.col("text").rlike(WORD)).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rest.select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,13 +306,16 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_ANCHORS, hot: int = HOT, decoded: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_ANCHORS, hot: int = HOT, decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the kept bytes (`kept`), n_bytes, n_removed and the removed spans for every row of docs.
 
-    decoded: kept is text, without the characters that a cut left incomplete; n_removed still counts bytes.
+    decoded: kept is text (null for null), without the characters that a cut left incomplete; n_removed still
+    counts bytes. carry: further columns that go along, which saves a join.
     """
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.lit(29)).alias("who"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+    kinds = dict(docs.dtypes)
+    # Columns that only go along travel as text, so that nulls do not turn integers into floats.
+    along = {f"_{i}": c for i, c in enumerate((key, *carry))}
+    rows = docs.select(*[F.col(c).cast("string").alias(a) for a, c in along.items()], F.xxhash64(F.col(key), F.lit(29)).alias("who"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     anchors = staged(repeated_anchors(rows, width), "anchors")
 
     def judged(some: DataFrame, how) -> DataFrame:
@@ -328,25 +331,27 @@ def substring_dedup(docs: DataFrame, width: int = 400, key: str = "doc_id", text
     spans = staged(spans.distinct(), "spans")
     dropped(anchors)
     found = spans.groupBy("who", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    both = rows.join(found, ["who", "row"], "left").select("id", "text", "spans")
+    both = rows.join(found, ["who", "row"], "left").select(*along, "text", "spans")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, removed, counts, lost = [], [], [], []
-        for data, spans in zip(_bytes(pdf["text"]), pdf["spans"], strict=True):
+        for text_, data, spans in zip(pdf["text"], _bytes(pdf["text"]), pdf["spans"], strict=True):
             gone = _merged((s["lo"], s["hi"]) for s in spans) if spans is not None else []
             parts, at = [], 0
             for lo, hi in gone:
                 parts.append(data[at:lo])
                 at = hi
             parts.append(data[at:])
-            kept.append(b"".join(parts).decode("utf-8", "ignore") if decoded else b"".join(parts))
+            rest = b"".join(parts)
+            kept.append(rest if not decoded else None if text_ is None else rest.decode("utf-8", "ignore"))
             removed.append([{"lo": lo, "hi": hi} for lo, hi in gone])
             counts.append(len(data))
             lost.append(sum(hi - lo for lo, hi in gone))
-        return pd.DataFrame({"id": pdf["id"], "n_bytes": counts, "n_removed": lost, "kept": kept, "removed": removed})
+        return pd.DataFrame({**{a: pdf[a] for a in along}, "n_bytes": counts, "n_removed": lost, "kept": kept, "removed": removed})
 
-    out = mapped(both, cut, f"id {kind}, n_bytes long, n_removed long, kept {'string' if decoded else 'binary'}, removed array<struct<lo: long, hi: long>>")
-    return out.withColumnRenamed("id", key)
+    schema = ", ".join(f"{a} string" for a in along) + f", n_bytes long, n_removed long, kept {'string' if decoded else 'binary'}, removed array<struct<lo: long, hi: long>>"
+    out = mapped(both, cut, schema)
+    return out.select(*[F.col(a).cast(kinds[c]).alias(c) for a, c in along.items()], "n_bytes", "n_removed", "kept", "removed")
 
 
 def digest(data: bytes) -> str:

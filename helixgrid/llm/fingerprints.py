@@ -186,7 +186,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", parts
             before = F.when((F.col("part") == p) & F.col("key").eqNullSafe(F.lit(k).cast(kind)) & (F.col("tie") == F.lit(tie)), F.array(F.lit(order[i - 1]))).otherwise(before)
     dealt = placed.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("guest"))), F.transform(before, lambda p: F.struct(p.alias("p"), F.lit(1).alias("guest"))))))
     dealt = dealt.select(F.col("to.p").alias("range"), F.col("to.guest").alias("guest"), "key", "tie", "text")
-    ranges = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("key").asc_nulls_first(), "tie")
+    ranges = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "guest", F.col("key").asc_nulls_first(), "tie")
 
     def run(batches):
         held: tuple | None = None  # (range, key, text, fingerprint): waits for its follower

@@ -32,7 +32,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of remaining budget that the knapsack fits exactly; the greedy part before it leaves less than a document.
 EXACT = 1 << 16
 #: Rows of one size and source that are ordered together.
-BUCKET = 4096
+BUCKET = 512
 
 
 def fit_targets(sizes: list[int], weights: list[int], share: float = 1.5, most: float = 2.0) -> list[float]:

@@ -37,8 +37,8 @@ from .common import U64, dropped, mapped, slices, staged
 from .lyndon import repeated_windows
 
 GRAM = 64
-#: Elections of one anchor beyond which its contexts are sieved before they meet in one task.
-HOT = 20_000
+#: Elections of one anchor beyond which its contexts are sieved before they meet in one task (of about 60 MB here).
+HOT = 100_000
 #: Repeated anchors that are sent to every task as one sorted array of 8 bytes each; beyond it they are joined.
 BROADCAST_ANCHORS = 1_000_000
 _P = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
@@ -264,8 +264,7 @@ def _hot_spans(contexts: DataFrame, width: int) -> DataFrame:
     texts with their numbers; the suffix arrays are built on those, and their answer is joined back.
     """
     named = _named(contexts, "c1", "c2", "anchor", "head", "windows", "body")
-    places = named.select("c1", "c2", F.explode(F.arrays_zip("who", "row", "start")).alias("p")).select("c1", "c2", "p.who", "p.row", "p.start")
-    places = staged(places, "hot-places")
+    places = staged(named.select("c1", "c2", F.arrays_zip("who", "row", "start").alias("places")), "hot-places")
     single = named.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("anchor", "head", "windows", "body")], F.sum(F.size("start")).alias("n"))
     single = staged(single, "hot-contexts")
 
@@ -293,6 +292,8 @@ def _hot_spans(contexts: DataFrame, width: int) -> DataFrame:
     found = _spans(texts.select("anchor", "head", "windows", "body", twofold(F.col("t1")).alias("who"), twofold(F.col("t2")).alias("row"), twofold(F.lit(0).cast("long")).alias("start")), width)
     found = found.distinct().select(F.col("who").alias("t1"), F.col("row").alias("t2"), "lo", "hi")
     back = runs.select("t1", "t2", "c1", "c2", "shift").join(found, ["t1", "t2"]).join(places, ["c1", "c2"])
+    # Places stay in arrays, one for each batch, until the joins are done.
+    back = back.select("shift", "lo", "hi", F.explode("places").alias("p")).select("shift", "lo", "hi", "p.who", "p.row", "p.start")
     return back.select("who", "row", (F.col("start") + F.col("shift") + F.col("lo")).alias("lo"), (F.col("start") + F.col("shift") + F.col("hi")).alias("hi"))
 
 

@@ -235,7 +235,7 @@ def test_mix_query(spark, sf):
 
 def test_targets_share_the_excess():
     t = mixing.fit_targets([10, 1000, 1000, 0], [3, 1, 2, 3])
-    assert t[0] == 20 and t[3] == 0 and abs(sum(t) - 1.5 * 2010) < 1e-9 and abs(t[2] - 2000) < 1e-9
+    assert t[0] == 20 and t[3] == 0 and abs(sum(t) - 1.5 * 2010) < 1e-9 and abs(t[2] - 2995 * 2 / 3) < 1e-9
 
 
 def test_subset_counts(monkeypatch):

@@ -25,18 +25,23 @@ def summary(counts: DataFrame, approximate: bool = False, strict: bool = False)
     return out
 
 
-def histogram(counts: DataFrame, fill: bool = True, most_bins: int = 1000) -> DataFrame:
+#: Bins that one row lists while they are filled.
+FILL = 65_536
+
+
+def histogram(counts: DataFrame, fill: bool = True, most_bins: int | None = 1000) -> DataFrame:
     """count -> frequency, zero-filled from the smallest count to the largest.
 
-    Bins stay if their count is at most 1000 or they are among the first most_bins; without fill,
-    only counts that occur have a row.
+    Bins stay if their count is at most 1000 or they are among the first most_bins; most_bins None keeps
+    every bin. Without fill, only counts that occur have a row.
     """
     found = counts.groupBy("count").agg(F.count("*").alias("frequency"))
     if not fill:
         return found
     ends = found.agg(F.min("count").alias("lo"), F.max("count").alias("hi")).where("lo is not null")
-    last = F.least(F.col("hi"), F.greatest(F.lit(1000), F.col("lo") + (most_bins - 1)))
-    bins = ends.select(F.explode(F.when(last >= F.col("lo"), F.sequence(F.col("lo"), last)).otherwise(F.array().cast("array<bigint>"))).alias("count"))
+    last = F.col("hi") if most_bins is None else F.least(F.col("hi"), F.greatest(F.lit(1000), F.col("lo") + (most_bins - 1)))
+    blocks = ends.withColumn("last", last).where("last >= lo").select("last", F.explode(F.sequence("lo", "last", F.lit(FILL).cast("long"))).alias("start"))
+    bins = blocks.select(F.explode(F.sequence("start", F.least("last", F.col("start") + (FILL - 1)))).alias("count"))
     return bins.join(found, "count", "left").select("count", F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 

@@ -202,7 +202,7 @@ class KmerTable:
     def stats(self, approximate: bool = False, strict: bool = False) -> DataFrame:
         return stats.summary(self.rows, approximate, strict)
 
-    def histogram(self, fill: bool = True, most_bins: int = 1000) -> DataFrame:
+    def histogram(self, fill: bool = True, most_bins: int | None = 1000) -> DataFrame:
         return stats.histogram(self.rows, fill, most_bins)
 
     def percentiles(self) -> DataFrame:

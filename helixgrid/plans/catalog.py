@@ -251,7 +251,7 @@ def stats_basic(spark, sf_dir):
 @query(f"""{T}, h AS (SELECT "count", count(*) AS frequency FROM t GROUP BY 1), e AS (SELECT min("count") AS lo, least(max("count"), greatest(1000, min("count") + 999)) AS hi FROM h),
 bins AS (SELECT unnest(range(lo, hi + 1)) AS "count" FROM e) SELECT bins."count", coalesce(frequency, 0) AS frequency FROM bins LEFT JOIN h ON h."count" = bins."count\"""")
 def stats_histogram(spark, sf_dir):
-    return documents(spark, sf_dir).histogram()
+    return documents(spark, sf_dir).histogram(most_bins=None)
 
 
 @query(f"""{T}, s AS (SELECT list_sort(list("count")) AS l, count(*) AS n FROM t)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixgrid.operators import counting, fuzzy, patterns, recipes, stats
 from helixgrid.operators.table import KmerTable, TableError, compatibility, merge, read_metadata
+from helixgrid.plans import catalog
 
 from test_sequence import naive, rc
 
@@ -121,6 +122,17 @@ def test_stats(spark, seqs):
     assert empty.stats().first()["unique_kmers"] == 0 and empty.histogram().count() == 0
 
 
+def test_whole_histogram(spark):
+    """Counts over 1000 and over a block of bins stay, through the registered query too."""
+    rare = KmerTable.from_pairs(spark, [("AAA", 1), ("AAC", 5000), ("AAG", 5000), ("AAT", stats.FILL + 7)], 3)
+    bins = {x["count"]: x["frequency"] for x in rare.histogram(most_bins=None).collect()}
+    assert sorted(bins) == list(range(1, stats.FILL + 8)) and {c: n for c, n in bins.items() if n} == {1: 1, 5000: 2, stats.FILL + 7: 1}
+    sf = "/root/testdata/sf0.01"
+    rows, got = catalog.documents(spark, sf).rows, catalog.QUERIES["stats_histogram"](spark, sf)
+    want = rows.agg(F.count("*"), F.sum("count"), F.max("count")).first()
+    assert got.agg(F.sum("frequency"), F.sum(F.col("count") * F.col("frequency")), F.max("count")).first() == want and want[2] > 1000
+
+
 def test_merge(spark):
     a = KmerTable.from_pairs(spark, [("AAA", 3), ("ACG", 2)], 3)
     b = KmerTable.from_pairs(spark, [("AAA", counting.CEILING), ("TTT", 1)], 3)

@@ -11,8 +11,9 @@ loses nothing. Retrieved pairs are verified by exact shingle containment.
 
 Defined cases: null, empty and short texts match nothing; a text that is a
 template matches it; repeated rows get equal answers; null ids are allowed;
-an empty table gives an empty result; templates shorter than five words are
-one shingle of all their words.
+an empty table gives an empty result. A template of fewer than five words is
+one shingle of all its words and is looked up among all runs of that many words
+of a text, so it is found anywhere and only as it stands.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved. No part of this work may be reproduced"],
 }
 
+#: Notices of fewer words than a shingle.
+PHRASES = {"Proprietary": ["All rights reserved"]}
+ALL = {name: texts + PHRASES.get(name, []) for name, texts in TEMPLATES.items()}
+
 _EDGES = b".,;:!?()[]{}<>\"'`*_/\\|#"
 _rng = np.random.default_rng(77)
 _A = (_rng.integers(1, 2**62, BANDS, dtype=np.uint64) << U64(1)) | U64(1)
@@ -57,13 +62,12 @@ def normalised(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(_EDGES) for x in split_words(text, lower=True)) if w]
 
 
-def shingles(words: list[bytes], known: WordHashes) -> np.ndarray:
-    """A hash for each run of SHINGLE words, in order; fewer words: one for all."""
-    h = known.of(words)
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash for each run of size words, in order, from the hashes of the words; fewer words: one for all."""
     n = len(h)
     if not n:
         return h
-    size = min(SHINGLE, n)
+    size = min(size, n)
     out = h[: n - size + 1].copy()
     for j in range(1, size):
         out = mix64(out) + h[j : n - size + 1 + j]
@@ -76,20 +80,39 @@ class Index:
     def __init__(self, templates: dict[str, list[str]]):
         known = WordHashes()
         self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
-        self.sets = [np.unique(shingles(normalised(templates[n][i]), known)) for n, i in self.names]
-        self.words = [len(normalised(templates[n][i])) for n, i in self.names]
-        self.known = np.unique(np.concatenate(self.sets))
+        words = [normalised(templates[n][i]) for n, i in self.names]
+        self.sets = [np.unique(shingles(known.of(w))) for w in words]
+        self.phrases = [(t, len(w)) for t, w in enumerate(words) if 0 < len(w) < SHINGLE]
+        self.known = np.unique(np.concatenate([np.empty(0, U64), *(s for s, w in zip(self.sets, words, strict=True) if len(w) >= SHINGLE)]))
         self.bands: dict[tuple[int, int], list[int]] = {}
         self.spans: dict[int, list[int]] = {}
         for t, s in enumerate(self.sets):
+            if len(words[t]) < SHINGLE:
+                continue
             self.spans.setdefault(1 << int(np.ceil(np.log2(2 * len(s)))), []).append(t)
             for b, low in enumerate((s[:, None] * _A + _B).min(axis=0).tolist()):
                 self.bands.setdefault((b, low), []).append(t)
 
     def scan(self, words: list[bytes], known: WordHashes) -> list[tuple[int, int, int, float]]:
         """(template, first word, end word, containment) of every verified window, the best of overlapping ones."""
-        h = shingles(words, known)
-        if not len(h):
+        own = known.of(words)
+        return sorted(self._phrases(own) + self._windows(own), key=lambda x: (x[1], x[2], x[0]))
+
+    def _phrases(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Every occurrence of the templates under SHINGLE words."""
+        out: list[tuple[int, int, int, float]] = []
+        runs = {n: shingles(words, n) for n in {n for _, n in self.phrases} if n <= len(words)}
+        for t, n in self.phrases:
+            end = 0
+            for a in np.flatnonzero(runs[n] == self.sets[t][0]).tolist() if n in runs else ():
+                if a >= end:
+                    end = a + n
+                    out.append((t, a, end, 1.0))
+        return out
+
+    def _windows(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        h = shingles(words)
+        if len(words) < SHINGLE or not len(self.known):
             return []
         at = np.searchsorted(self.known, h)
         shared = self.known[np.minimum(at, len(self.known) - 1)] == h
@@ -109,14 +132,14 @@ class Index:
                     got = len(np.unique(window[hit]))
                     if 100 * got >= PERCENT * len(self.sets[t]):
                         where = np.flatnonzero(hit)
-                        first, end = a + int(where[0]), a + int(where[-1]) + min(SHINGLE, len(words))
+                        first, end = a + int(where[0]), a + int(where[-1]) + SHINGLE
                         found[t, first, end] = got / len(self.sets[t])
         # Of overlapping spans of one template, the one of the highest containment and then the shortest stays.
         out: list[tuple[int, int, int, float]] = []
         for (t, a, b), c in sorted(found.items(), key=lambda x: (x[0][0], -x[1], x[0][2] - x[0][1], x[0][1])):
             if not any(o[0] == t and a < o[2] and o[1] < b for o in out):
                 out.append((t, a, b, c))
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:

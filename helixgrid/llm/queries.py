@@ -49,7 +49,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    out = licenses.license_scan(table(spark, sf_dir, "documents"), licenses.ALL)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
     return out.select("doc_id", "n_words", names.alias("licenses"), F.size("matches").cast("long").alias("n_matches"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best"))
 

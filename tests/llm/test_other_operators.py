@@ -264,6 +264,18 @@ def test_license_retrieval(spark):
             assert 0 <= m["first"] < m["end"] <= r["n_words"] and m["containment"] >= 0.8
 
 
+def test_license_phrases(spark):
+    """A template under five words is found inside a long text, in a text of its own and in none that lacks a word of it."""
+    pad = " ".join(f"w{i}" for i in range(300))
+    texts = [f"{pad} (c) 2020 All rights reserved. {pad}", "All rights reserved.", f"all rights reserved {pad} ALL RIGHTS RESERVED", f"{pad} all other rights reserved {pad}", "all rights"]
+    got = {r["doc_id"]: [(m["license"], m["first"], m["end"]) for m in r["matches"]] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.ALL).collect()}
+    found = {i: [("Proprietary", a, a + 3) for a in at] for i, at in enumerate([[302], [0], [0, 303], [], []])}
+    assert got == found
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"] for r in QUERIES["op7_license_scan"](spark, sf).collect() if "Proprietary" in r["licenses"]}
+    assert rows == {i for i, t in docs_of(spark, sf) if b" all rights reserved " in b" %b " % b" ".join(licenses.normalised(t))} and rows
+
+
 def test_license_odd_and_empty(spark, odd, none):
     assert {r["doc_id"] for r in licenses.license_scan(odd).collect() if not r["matches"]} == {r["doc_id"] for r in odd.collect()}
     assert licenses.license_scan(none).count() == 0

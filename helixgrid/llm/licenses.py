@@ -1,13 +1,17 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies.
 
-Words are lower-cased and stripped of punctuation at their ends. A window of
-2^k shingles (five words each) steps by half its length, for the k that fits
-each template, so every occurrence of a template lies in a window at most four
-times its own size. At a containment of 0.8 the similarity is then at least
-0.16; BANDS bands of one minimum each collide with a probability of
-1 - 0.84^BANDS, over 0.99999 for 72. A window that shares no shingle with any template cannot
-collide, so texts are first passed against the templates' shingles, which
-loses nothing. Retrieved pairs are verified by exact shingle containment.
+Words are lower-cased and stripped of punctuation at their ends. An occurrence
+of a template is a stretch of at most 2^k shingles (five words each), two to four
+times as many as the template has, that holds 0.8 of its shingles; what is
+inserted or lost in it does not matter, nor where in the text it stands. Windows of 2^k
+shingles step by half their length, so one of two neighbours holds half of an
+occurrence's shingles, 0.4 of the template. Shingles that no template has
+cannot collide and are left out, so the similarity is at least 0.4 where one
+template stands alone; BANDS bands of one minimum each collide with a
+probability of 1 - 0.6^BANDS, all but 1e-15 for 72. In the worst case, a window full of
+other templates' shingles, it is 0.087 and the probability over 0.998. A template
+retrieved by any window is verified by exact shingle containment over all
+stretches of the text.
 
 Defined cases: null, empty and short texts match nothing; a text that is a
 template matches it; repeated rows get equal answers; null ids are allowed;
@@ -18,6 +22,8 @@ of a text, so it is found anywhere and only as it stands.
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -118,30 +124,51 @@ class Index:
         shared = self.known[np.minimum(at, len(self.known) - 1)] == h
         if not shared.any():
             return []
-        found: dict[tuple[int, int, int], float] = {}
+        marks = np.flatnonzero(shared)
+        known = h[marks]
+        out: list[tuple[int, int, int, float]] = []
         for span, own in self.spans.items():
             step = max(1, span // 2)
-            marks = np.flatnonzero(shared)
             starts = np.unique(np.concatenate([marks // step * step, np.maximum(0, marks // step * step - step)]))
-            for a in starts[starts < len(h)].tolist():
-                window = h[a : a + span]
-                lows = (window[:, None] * _A + _B).min(axis=0).tolist()
-                met = {t for b, low in enumerate(lows) for t in self.bands.get((b, low), ())}
-                for t in met.intersection(own):
-                    hit = np.isin(window, self.sets[t])
-                    got = len(np.unique(window[hit]))
-                    if 100 * got >= PERCENT * len(self.sets[t]):
-                        where = np.flatnonzero(hit)
-                        first, end = a + int(where[0]), a + int(where[-1]) + SHINGLE
-                        found[t, first, end] = got / len(self.sets[t])
-        # Of overlapping spans of one template, the one of the highest containment and then the shortest stays.
-        out: list[tuple[int, int, int, float]] = []
-        for (t, a, b), c in sorted(found.items(), key=lambda x: (x[0][0], -x[1], x[0][2] - x[0][1], x[0][1])):
-            if not any(o[0] == t and a < o[2] and o[1] < b for o in out):
-                out.append((t, a, b, c))
+            met: set[int] = set()
+            for low, high in zip(*np.searchsorted(marks, [starts, starts + span]).tolist(), strict=True):
+                if low < high and len(met) < len(own):
+                    lows = (known[low:high, None] * _A + _B).min(axis=0).tolist()
+                    met |= {t for b, x in enumerate(lows) for t in self.bands.get((b, x), ())}.intersection(own)
+            for t in met:
+                out += _apart(t, self._stretches(t, span, marks, known))
+        return out
+
+    def _stretches(self, t: int, span: int, marks: np.ndarray, known: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first word, end word, containment): for each shingle of a template, the stretch that ends in it, if it holds enough."""
+        hit = np.isin(known, self.sets[t])
+        at, kind = marks[hit].tolist(), np.searchsorted(self.sets[t], known[hit]).tolist()
+        n, held, out = len(self.sets[t]), Counter(), []
+        low = 0
+        for high, k in enumerate(kind):
+            held[k] += 1
+            while at[high] - at[low] >= span or held[kind[low]] > 1:
+                held[kind[low]] -= 1
+                if not held[kind[low]]:
+                    del held[kind[low]]
+                low += 1
+            if 100 * len(held) >= PERCENT * n:
+                out.append((at[low], at[high] + SHINGLE, len(held) / n))
         return out
 
 
+def _apart(t: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Of overlapping stretches of one template, the one of the highest containment and then the shortest stays."""
+    firsts: list[int] = []
+    kept: list[tuple[int, int, int, float]] = []
+    for a, b, c in sorted(found, key=lambda x: (-x[2], x[1] - x[0], x[0])):
+        i = bisect(firsts, a)
+        if (i == 0 or kept[i - 1][2] <= a) and (i == len(kept) or b <= kept[i][1]):
+            firsts.insert(i, a)
+            kept.insert(i, (t, a, b, c))
+    return kept
+
+
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words and the matches (license, template, first word, end word, containment) of every document."""
     kind = dict(docs.dtypes)[key]

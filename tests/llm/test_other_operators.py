@@ -276,6 +276,19 @@ def test_license_phrases(spark):
     assert rows == {i for i, t in docs_of(spark, sf) if b" all rights reserved " in b" %b " % b" ".join(licenses.normalised(t))} and rows
 
 
+def test_license_insertions():
+    """Words inserted into a template: it is found at every place of the text, also next to an exact one."""
+    index, known = licenses.Index(licenses.TEMPLATES), licenses.WordHashes()
+    t = index.names.index(("LGPL-3.0", 0))
+    words = licenses.normalised(licenses.TEMPLATES["LGPL-3.0"][0])
+    cut = [*words[:15], *(b"in%d" % i for i in range(30)), *words[15:]]
+    for before in range(130):
+        pad = [b"w%d" % i for i in range(before)]
+        assert [m[:3] for m in index.scan([*pad, *cut, *pad], known) if m[0] == t] == [(t, before, before + len(cut))]
+        both = [m[1:] for m in index.scan([*pad, *words, *cut], known) if m[0] == t]
+        assert both == [(before, before + len(words), 1.0), (before + len(words), before + len(words) + len(cut), 21 / 25)]
+
+
 def test_license_odd_and_empty(spark, odd, none):
     assert {r["doc_id"] for r in licenses.license_scan(odd).collect() if not r["matches"]} == {r["doc_id"] for r in odd.collect()}
     assert licenses.license_scan(none).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixgrid.llm import mixing, near_dup, packing, rules, substring_dedup
-from helixgrid.llm.common import WORD, staged
+from helixgrid.llm.common import WORD, row_key, staged
 from helixgrid.llm.queries import table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +21,11 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
+def _rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose row key is among keys, with their own columns only."""
+    return docs.withColumn("row_key", row_key("doc_id")).join(keys.select("row_key"), "row_key", "left_semi").select(*COLUMNS)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with _key, which tells rows without an id apart by their text."""
     return docs.select(*COLUMNS, F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("_key"))
@@ -34,15 +39,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates stays (five-word shingles, 0.8).
 
-    Rows that share an id (or have none) are compared by text, and one of those with equal texts stays.
+    Every row goes by its own verdict, also rows that share an id or have none. One of rows with equal ids and texts stays.
     """
-    found = staged(near_dup.near_duplicates(docs), "near-duplicates")
-    kept = _of(docs, found.where("kept"))
-    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    found = staged(near_dup.near_duplicates(docs, keyed=True).where("kept").select("row_key"), "near-duplicates")
+    again = found.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
     if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return _rows(docs, found)
+    once = found.join(again, "row_key", "left_anti")
+    return _rows(docs, once).union(_rows(docs, again).dropDuplicates(["doc_id", "text"]))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

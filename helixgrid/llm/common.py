@@ -107,6 +107,11 @@ def remainder(key: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def row_key(key: str, text: str = "text") -> Column:
+    """A 64-bit hash of a row's key and text, never null: tells rows of one id, or of none, apart; equal rows share it."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
 def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows at most, by a hash of the key: a bounded sample that does not depend on partitioning."""
     n = df.count()

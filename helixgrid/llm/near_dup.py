@@ -22,8 +22,10 @@ already connected need no test and no link between different texts is lost.
 
 Defined cases: documents without a shingle (null, empty, white space) are
 their own component; equal sets are linked through their class before any
-search; rows that share an id share a component, and the one of most shingles is searched; rows with a null id are kept, with a
-null component; an empty table gives an empty result.
+search. Rows are compared as rows (a hash of id and text), so each of several texts under
+one id, or without an id, has its own verdict. A component has the smallest id
+of its rows, null if no row has one; the row of that id stays (of several, the
+one of the smallest hash; equal rows get equal answers). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mapped, mix64, split_words, staged
+from .common import U64, WordHashes, mapped, mix64, row_key, split_words, staged
 from .components import connected_components
 
 SLOTS, WIDTH = 100, 5
@@ -83,8 +85,9 @@ def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, perc
     return (100 + percent) * most >= percent * (nx + ny)
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key, n_shingles, two words of a hash of the whole set, the signature and the spread."""
+def signatures(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, n_shingles, two words of a hash of the whole set, the signature and the spread."""
+    kinds = dict(docs.dtypes)
 
     def run(batches):
         known = WordHashes()
@@ -94,10 +97,10 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 s = shingle_hashes(known.of(split_words(t, lower=True)), size)
                 with np.errstate(over="ignore"):
                     rows.append((len(s), int(np.bitwise_xor.reduce(s).astype(np.int64)) if len(s) else 0, int(mix64(s + U64(11)).sum().astype(np.int64)) if len(s) else 0, signature(s) if len(s) else b"", spread(s) if len(s) else b""))
-            yield pd.DataFrame({"key": pdf["key"].array, "n_shingles": [r[0] for r in rows], "set_a": [r[1] for r in rows], "set_b": [r[2] for r in rows], "sig": [r[3] for r in rows], "spread": [r[4] for r in rows]})
+            yield pd.DataFrame({"key": pdf["key"].array, **{c: pdf[c].array for c in carry}, "n_shingles": [r[0] for r in rows], "set_a": [r[1] for r in rows], "set_b": [r[2] for r in rows], "sig": [r[3] for r in rows], "spread": [r[4] for r in rows]})
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_shingles long, set_a long, set_b long, sig binary, spread binary")
+    along = "".join(f"{c} {kinds[c]}, " for c in carry)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry).mapInPandas(run, f"key {kinds[key]}, {along}n_shingles long, set_a long, set_b long, sig binary, spread binary")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -135,21 +138,23 @@ def _index(reps: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. texts: id, text."""
+    """The pairs (a, b) whose full shingle sets reach the similarity. texts: id (a row key, so equal ids have equal texts), text."""
 
     def confirm(batches):
         known = WordHashes()
-        last: tuple[int, np.ndarray] = (-1, np.empty(0, U64))
+        last: tuple[int, np.ndarray] | None = None
         for pdf in batches:
             good = []
             for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
-                if last[0] != a:
+                if last is None or last[0] != a:
                     last = (a, shingle_hashes(known.of(split_words(ta, lower=True)), size))
                 y = shingle_hashes(known.of(split_words(tb, lower=True)), size)
                 both = len(last[1]) + len(y) - len(np.union1d(last[1], y))
                 good.append(100 * both >= percent * (len(last[1]) + len(y) - both))
             yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
@@ -230,26 +235,27 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, kept for every document. key must be an integer."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    marks = staged(signatures(rows, "id", "text", shingle).withColumnRenamed("key", "id"), "signatures")
-    best = F.max(F.struct("n_shingles", "set_a", "set_b", "sig", "spread"))
-    known = marks.where("id is not null and n_shingles > 0").groupBy("id").agg(best.alias("m")).select("id", "m.*")
-    # Equal sets are one class; its smallest id stands for it.
-    classes = staged(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("spread").alias("spread")), "classes")
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """key, n_shingles, component_id, kept for every document. key must be an integer. keyed: row_key too, to filter rows by."""
+    own = F.col(key).cast("long")
+    rows = docs.select(row_key(key, text).alias("id"), F.coalesce(own, F.lit(0)).alias("doc"), own.isNull().alias("nameless"), F.col(text).alias("text"))
+    marks = staged(signatures(rows, "id", "text", shingle, ("doc", "nameless")).withColumnRenamed("key", "id"), "signatures")
+    # Equal sets are one class; one of its rows stands for it. The head is the row that stays.
+    head = F.min(F.struct("nameless", "doc", F.col("id").alias("row"))).alias("head")
+    sets = ["set_a", "set_b", "n_shingles"]
+    classes = staged(marks.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("id"), head, F.first("sig").alias("sig"), F.first("spread").alias("spread")), "classes")
     reps = classes.select("id", F.col("n_shingles").alias("n"), "sig", "spread")
     index = _index(classes)
     buckets = index.groupBy("bucket").agg(F.count("*").alias("seats")).where("seats > 1")
     met = staged(index.join(buckets, "bucket"), "buckets")
     # A text that the others are copies of meets more members than they do: the bucket's busiest member is its pivot.
     busy = met.groupBy("id").agg(F.sum(F.col("seats") - 1).alias("busy"))
-    pivots = met.join(busy, "id").groupBy("bucket").agg(F.max(F.struct("busy", (-F.col("id")).alias("id"))).alias("p")).select("bucket", (-F.col("p.id")).alias("pivot"))
+    pivots = met.join(busy, "id").groupBy("bucket").agg(F.max(F.struct("busy", F.bitwise_not("id").alias("id"))).alias("p")).select("bucket", F.bitwise_not("p.id").alias("pivot"))
     shared = staged(met.join(pivots, "bucket"), "pivots")
     tries = shared.where("pivot <> id").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sized = tries.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("spread").alias("pb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("spread").alias("pa")), "a")
     tries = sized.where(_sizes_allow(percent)).where(_near(percent)).select("a", "b")
-    texts = rows.where("id is not null")
+    texts = rows.select("id", "text")
     first = staged(_similar(tries, texts, shingle, percent), "links")
     joined = connected_components(first)
     # What is left: members of one bucket in different components.
@@ -258,7 +264,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     left = labelled.join(mixed, "bucket").join(reps, "id")
     left = left.withColumn("seat", F.pmod(F.xxhash64("id"), F.lit(BLOCK) * F.ceil(F.col("seats") / F.lit(BLOCK))))
     second = staged(_similar(staged(_across(left, percent), "across"), texts, shingle, percent), "links")
-    same = known.join(classes.select("set_a", "set_b", "n_shingles", F.col("id").alias("rep")), ["set_a", "set_b", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(first.union(second).union(same))
-    out = marks.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    final = connected_components(first.union(second))
+    named = classes.select(*sets, "id", "head").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = named.groupBy("component").agg(F.min("head").alias("head"))
+    named = named.drop("head").join(heads, "component").select(*sets, "head")
+    out = marks.select("id", "doc", "nameless", *sets).join(named, sets, "left").withColumn("head", F.coalesce("head", F.struct("nameless", "doc", F.col("id").alias("row"))))
+    columns = (F.when(~F.col("nameless"), F.col("doc")).alias(key), "n_shingles", F.when(~F.col("head.nameless"), F.col("head.doc")).alias("component_id"), (F.col("id") == F.col("head.row")).alias("kept"))
+    return out.select(*columns, *([F.col("id").alias("row_key")] if keyed else []))

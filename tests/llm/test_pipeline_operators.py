@@ -137,6 +137,32 @@ def test_near_dup_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2)
 
 
+def test_near_dup_shared_ids(spark):
+    """Texts under one id, under -1 or under none are compared and judged row by row."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+
+    def words(n):
+        return [f"z{rng.randrange(10**6)}" for _ in range(n)]
+
+    def near(text):
+        return " ".join("changed" if i == 40 else w for i, w in enumerate(text.split()))
+
+    a, b, c, d, e = (" ".join(words(n)) for n in (120, 100, 90, 110, 130))
+    rows = [(1, a), (5, near(a)), (5, b), (9, near(b)), (None, c), (None, near(c)), (None, d), (-1, e), (20, near(e)), (5, near(a)), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["row_key"]): (r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs, keyed=True).collect()}
+    keys = {(r["doc_id"], r["text"]): (r["doc_id"], r["k"]) for r in docs.select("*", near_dup.row_key("doc_id").alias("k")).collect()}
+    first = min((keys[None, c], keys[None, near(c)]), key=lambda x: x[1])
+    want = {(1, a): (1, True), (5, near(a)): (1, False), (5, b): (5, True), (9, near(b)): (5, False), (None, d): (None, True), (-1, e): (-1, True), (20, near(e)): (-1, False), (7, None): (7, True), (7, ""): (7, True)}
+    want |= {(None, t): (None, keys[None, t] == first) for t in (c, near(c))}
+    assert got == {keys[k]: v for k, v in want.items()}
+    whole = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    stay = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, whole.union(whole), "").collect()), key=str)
+    assert stay == sorted((k for k, (_, kept) in want.items() if kept), key=str)
+
+
 def test_keys_meet_within_the_bound():
     rng = np.random.default_rng(2)
     for _ in range(300):

@@ -16,11 +16,6 @@ from helixgrid.llm.queries import table, vocabulary
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids, with their own columns only."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
-
-
 def _rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The documents whose row key is among keys, with their own columns only."""
     return docs.withColumn("row_key", row_key("doc_id")).join(keys.select("row_key"), "row_key", "left_semi").select(*COLUMNS)
@@ -32,8 +27,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or that a learned rule rejects go. Rows without an id go only if all such rows do."""
-    return _of(docs, rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    """Documents that fail the base or that a learned rule rejects go, each by its own verdict, also among rows that share an id or have none."""
+    keyed = docs.withColumn("row_key", row_key("doc_id"))
+    return _rows(docs, rules.quality_rules(keyed, table(spark, sf_dir, "labels"), carry=("row_key",)).where("kept"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

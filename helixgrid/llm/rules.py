@@ -106,18 +106,20 @@ def document_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of statistics per document."""
-    kind = dict(docs.dtypes)[key]
+def text_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row of statistics per document. carry: further columns that go along."""
+    kinds = dict(docs.dtypes)
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.array([document_stats(t) for t in pdf["text"]], dtype=np.int64).reshape(-1, len(names))
         out = pd.DataFrame(rows, columns=names)
-        out.insert(0, "key", pdf["key"].array)
+        for i, c in enumerate(("key", *carry)):
+            out.insert(i, c, pdf[c].array)
         return out
 
-    return mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), batch, f"key {kind}, {STATS}").withColumnRenamed("key", key)
+    along = "".join(f"{c} {kinds[c]}, " for c in carry)
+    return mapped(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry), batch, f"key {kinds[key]}, {along}{STATS}").withColumnRenamed("key", key)
 
 
 def base_failed() -> Column:
@@ -240,8 +242,8 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "d
     return learn({n: rows[n].to_numpy(dtype=float) for n in FEATURES}, bad)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id") -> DataFrame:
-    """Statistics, base_failed and kept for every document."""
-    stats = staged(text_stats(docs, key), "stats")
+def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Statistics, base_failed and kept for every document. carry: further columns that go along."""
+    stats = staged(text_stats(docs, key, carry=carry), "stats")
     verdict = fit(stats, labels, sample, key).expression()
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict)

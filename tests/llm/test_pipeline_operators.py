@@ -402,3 +402,16 @@ def test_pipeline_odd_and_empty(spark, odd, none, tmp_path):
             if n == 1:
                 assert docs.count() == docs.select("doc_id", "text").distinct().count()
         check_packing(corpus_pipeline.packed(spark, docs, str(tmp_path)).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_pipeline_rejects_rows(spark, tmp_path):
+    """A rejected row goes although a row of the same id, or another without an id, is kept."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(1, good[0]), (1, "too short"), (None, good[1]), (None, "short too"), (None, None), (2, "short"), (3, good[2]), (3, good[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, good[0]), (None, good[1]), (3, good[2]), (3, good[2])], key=str)

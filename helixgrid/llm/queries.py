@@ -55,8 +55,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text is what is left, as text: a character of which only some bytes are left stands as U+FFFD there; kept_sha256 is of the bytes."""
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), width=400)
-    return out.select("doc_id", "n_bytes", F.col("n_removed").cast("long"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return out.select("doc_id", "n_bytes", F.col("n_removed").cast("long"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

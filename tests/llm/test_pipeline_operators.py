@@ -198,6 +198,9 @@ def digests(rows):
 def test_suffix_query(spark, sf):
     got = QUERIES["op8_suffix_dedup"](spark, sf).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_cut(docs_of(spark, sf), 400)
+    for r in got:
+        if "\ufffd" not in r["text"]:
+            assert len(r["text"].encode()) == r["n_bytes"] - r["n_removed"] and hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
 
 
 @pytest.mark.parametrize("broadcast,hot", [(0, 10**6), (10**6, 10**6), (10**6, 0), (0, 0)])

@@ -87,14 +87,14 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("tables", nargs="+")
     m.add_argument("-o", "--output")
     m.add_argument("--mixed", action="store_true", help="make plain tables canonical if any other is")
-    m.add_argument("--policy", choices=("saturate", "error", "exact"), default="saturate")
+    m.add_argument("--policy", choices=("exact", "saturate", "error"), default="exact")
     m.add_argument("--check-compatibility", action="store_true")
 
     s = verb("stats", "statistics of a table")
     s.add_argument("table")
     s.add_argument("--histogram", action="store_true")
     s.add_argument("--approximate", action="store_true")
-    s.add_argument("--max-bins", type=int, default=1000)
+    s.add_argument("--max-bins", type=int, help="the last bin holds all larger counts (default: a bin for every count)")
     s.add_argument("--format", choices=sorted(exports.FORMATS), default="table")
     s.add_argument("-o", "--output")
 

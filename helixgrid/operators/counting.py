@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codes import CODED_K, counted_codes
 from .windows import explode_windows, window_summary
 
 #: The largest count that the binary table format holds.
@@ -16,7 +17,17 @@ class CountOverflow(ValueError):
 
 
 def count_words(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:
-    """kmer, count over all sequences; partial counts are combined before the shuffle."""
+    """kmer, count over all sequences; partial counts are combined before the shuffle.
+
+    Words of up to 31 bases are counted as codes, longer ones as strings.
+    """
+    if k <= CODED_K:
+        return counted_codes(df, k, canonical, seq)
+    return exploded_counts(df, k, canonical, seq)
+
+
+def exploded_counts(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:
+    """As count_words, for any k, a row for each window and without Python."""
     return explode_windows(df, k, canonical, seq).groupBy("kmer").agg(F.count("*").alias("count"))
 
 
@@ -69,8 +80,8 @@ def counter_report(counts: DataFrame, k: int, canonical: bool) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_kmers"), F.count("*").alias("unique_kmers"), (F.count("*") * (24 + key + 4)).alias("memory_bytes")).withColumn("k", F.lit(k)).withColumn("canonical", F.lit(canonical))
 
 
-def capped(count: Column, policy: str = "saturate") -> Column:
-    """Sums under the ceiling: 'saturate' stops there, 'error' fails the job, 'exact' keeps them."""
+def capped(count: Column, policy: str = "exact") -> Column:
+    """Sums: 'exact' keeps them, 'saturate' stops at the ceiling of the binary format, 'error' fails the job beyond it."""
     if policy == "exact":
         return count
     if policy == "saturate":

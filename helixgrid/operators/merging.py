@@ -11,8 +11,8 @@ from ..functions.sequence import canonical as canonical_of
 from .counting import capped
 
 
-def sum_tables(tables: list[DataFrame], policy: str = "saturate") -> DataFrame:
-    """kmer, count summed over all tables, under the ceiling policy."""
+def sum_tables(tables: list[DataFrame], policy: str = "exact") -> DataFrame:
+    """kmer, count summed over all tables; the policy says what happens beyond the binary format's ceiling."""
     if not tables:
         raise ValueError("nothing to merge")
     every = reduce(DataFrame.unionByName, [t.select("kmer", "count") for t in tables])

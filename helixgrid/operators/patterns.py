@@ -29,15 +29,15 @@ def bases_only(text: str, what: str = "pattern") -> str:
 
 @dataclass(frozen=True)
 class GapPattern:
-    """prefix, a gap of any bases, suffix: 'AC{N3}GT'."""
+    """prefix, a gap of any bases, suffix: 'AC{N3}GT'. A gap of None stands for no braces: any word with the prefix."""
 
     prefix: str
-    gap: int
+    gap: int | None
     suffix: str
 
     @property
     def length(self) -> int:
-        return len(self.prefix) + self.gap + len(self.suffix)
+        return len(self.prefix) + (self.gap or 0) + len(self.suffix)
 
 
 def parse_gap(text: str) -> GapPattern:
@@ -47,7 +47,7 @@ def parse_gap(text: str) -> GapPattern:
     if not brace:
         if "N" in text:
             raise PatternError(f"write N inside braces: {text!r}")
-        return GapPattern(bases_only(text), 0, "")
+        return GapPattern(bases_only(text), None, "")
     inside, close, tail = rest.partition("}")
     m = re.fullmatch(r"N(\d*)", inside)
     if not close or not m:
@@ -82,9 +82,9 @@ def ends(suffix: str, k: int) -> Column:
 
 
 def gapped(pattern: GapPattern | str, k: int) -> Column:
-    """Words of a gap pattern. Without a gap ({N0} or no braces) the prefix alone decides."""
+    """Words of a gap pattern, which covers k bases; a gap of no bases is a gap like others. Without braces the prefix alone decides."""
     p = parse_gap(pattern) if isinstance(pattern, str) else pattern
-    if p.gap == 0:
+    if p.gap is None:
         return starts_loosely(p.prefix, k)
     if p.length != k:
         raise PatternError(f"the pattern covers {p.length} bases, the table has {k}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,34 +13,53 @@ from .lookup import key_of
 from .windows import placed_windows
 
 
+#: Bases of a record that are marked at once.
+STRETCH = 1 << 14
+
+
 def mark_unsupported(table: DataFrame, sequences: DataFrame, k: int, canonical: bool, seq: str = "seq", key: str = "record_id") -> DataFrame:
     """record, length, supported, marked, trimmed, percent: bases under no window of the table become N.
 
-    Covered places are found from the starts of supported windows as intervals, joined into islands per
-    record, and the sequence is rebuilt from the islands, so a base is never a row of its own.
+    Records are judged in stretches of bounded size, so a long record is spread over tasks; the starts of
+    supported windows meet the stretch they cover (a window over a seam meets both), and only the marked
+    stretches of a record are put together. Records are known by their key, which must be unique; a null
+    sequence counts as empty.
     """
-    rows = sequences.select(key, F.col(seq).alias("_seq"))
+    clean = F.coalesce(F.regexp_replace(F.col(seq), "[^ACGTacgt]", "N"), F.lit(""))
+    rows = sequences.select(key, clean.alias("_seq"))
     placed = placed_windows(rows, k, "_seq", (key,))
     word = ascii_upper(F.col("kmer"))
-    good = placed.where(word.rlike("^[ACGT]+$")).select(key, "pos", key_of(F.col("kmer"), canonical).alias("_key"))
+    good = placed.where(~word.contains("N")).select(key, "pos", key_of(F.col("kmer"), canonical).alias("_key"))
     hit = good.join(table.select(F.col("kmer").alias("_key")), "_key", "left_semi").select(key, "pos")
-    order = Window.partitionBy(key).orderBy("pos")
-    islands = (
-        hit.withColumn("_new", (F.col("pos") - F.lag("pos").over(order) > k).cast("int"))
-        .withColumn("_id", F.sum(F.coalesce("_new", F.lit(1))).over(order))
-        .groupBy(key, "_id").agg(F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"))
-        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_parts"))
-    )
-    both = rows.join(islands, key, "left").withColumn("_parts", F.coalesce("_parts", F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
-    built = F.aggregate(
-        "_parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, p: F.struct(p["hi"].alias("at"), F.concat(s["out"], F.repeat(F.lit("N"), (p["lo"] - s["at"]).cast("int")), F.substring(F.col("_seq"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int"))).alias("out")),
-    )
-    n = F.length("_seq")
-    supported = F.aggregate("_parts", F.lit(0).cast("long"), lambda s, p: s + p["hi"] - p["lo"])
-    out = both.withColumn("_b", built).select(key, n.alias("length"), supported.alias("supported"), F.concat(F.col("_b.out"), F.repeat(F.lit("N"), (n - F.col("_b.at")).cast("int"))).alias("marked"))
-    return out.withColumn("trimmed", F.regexp_replace(F.regexp_replace("marked", "^N+", ""), "N+$", "")).withColumn("percent", F.when(F.col("length") > 0, 100.0 * F.col("supported") / F.col("length")).otherwise(F.lit(0.0)))
+    first, last = F.floor(F.col("pos") / STRETCH), F.floor((F.col("pos") + (k - 1)) / STRETCH)
+    starts = hit.select(key, "pos", F.explode(F.sequence(first, last)).alias("_b")).groupBy(key, "_b").agg(F.collect_list((F.col("pos") - F.col("_b") * STRETCH).cast("int")).alias("_at"))
+    body = F.substring(F.col("_seq").cast("binary"), (F.col("_b") * STRETCH + 1).cast("int"), F.lit(STRETCH))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.length("_seq") - 1, F.lit(0)) / STRETCH))
+    pieces = rows.select(key, "_seq", F.explode(blocks).alias("_b")).select(key, "_b", body.alias("_p"))
+    kind = dict(rows.dtypes)[key]
+    names = {key: "_k", "_b": "_b", "_p": "_p", "_at": "_at"}
+
+    def mark(batches):
+        for pdf in batches:
+            marked, supported = [], []
+            for piece, at in zip(pdf["_p"], pdf["_at"], strict=True):
+                n = len(piece)
+                change = np.zeros(n + 1, np.int32)
+                if at is not None:
+                    at = np.asarray(at, np.int64)
+                    np.add.at(change, np.maximum(at, 0), 1)
+                    np.add.at(change, np.minimum(at + k, n), -1)
+                under = np.cumsum(change[:n]) > 0
+                marked.append(np.where(under, np.frombuffer(piece, np.uint8), ord("N")).astype(np.uint8).tobytes().decode())
+                supported.append(int(under.sum()))
+            yield pd.DataFrame({"_k": pdf["_k"], "_b": pdf["_b"], "_m": marked, "_s": supported})
+
+    both = pieces.join(starts, [key, "_b"], "left").select(*[F.col(c).cast("string").alias(a) if c == key else F.col(c).alias(a) for c, a in names.items()])
+    done = both.mapInPandas(mark, "_k string, _b long, _m string, _s long")
+    whole = done.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_b", "_m"))).alias("_parts"), F.sum("_s").alias("supported"))
+    marked = whole.select(F.col("_k").cast(kind).alias(key), F.array_join(F.col("_parts._m"), "").alias("marked"), "supported").withColumn("length", F.length("marked"))
+    percent = F.when(F.col("length") > 0, 100.0 * F.col("supported") / F.col("length")).otherwise(F.lit(0.0))
+    return marked.select(key, "length", "supported", "marked", F.trim("marked", F.lit("N")).alias("trimmed"), percent.alias("percent"))
 
 
 def flank_pattern(sequence: str, first: int, last: int, k: int) -> tuple[str, int, str] | None:
@@ -77,13 +98,16 @@ def choose_fill(candidates: DataFrame, by_polymers: bool = False) -> DataFrame:
     return candidates.groupBy("region").agg(best.alias("b")).select("region", "b.kmer", (-F.col("b.c")).alias("count"), "b.polymers")
 
 
-def polish(table: DataFrame, candidates: DataFrame, regions: DataFrame, k: int, canonical: bool, most: int = 1000) -> DataFrame:
+def polish(table: DataFrame, candidates: DataFrame, regions: DataFrame, k: int, canonical: bool, most: int | None = None) -> DataFrame:
     """For each region the candidate that leaves the fewest distinct windows missing from the table.
 
-    regions: region, left, right (context around the candidate). The `most` best candidates of a region are tried.
+    regions: region, left, right (context around the candidate). Every candidate is tried, or with `most` the
+    best of each region by count.
     """
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("count"), "kmer"))
-    tried = candidates.withColumn("_r", rank).where(F.col("_r") <= most).join(regions.select("region", "left", "right"), "region")
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("count"), "kmer"))
+        candidates = candidates.withColumn("_r", rank).where(F.col("_r") <= most)
+    tried = candidates.join(regions.select("region", "left", "right"), "region")
     from .windows import explode_windows
 
     built = tried.select("region", F.col("kmer").alias("fill"), F.col("count").alias("fill_count"), F.concat("left", "kmer", "right").alias("_seq"))

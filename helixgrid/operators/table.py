@@ -166,13 +166,14 @@ class KmerTable:
             return self.rows.where(F.col("kmer").isin(search.expand_wildcards(pattern.strip().upper())))
         return self.rows.where(patterns.wildcard(pattern, self.k))
 
-    def fuzzy(self, pattern: str, distance: int = 0, positions: str = "", limit: int = search.MAX_VARIANTS) -> DataFrame:
+    def fuzzy(self, pattern: str, distance: int = 0, positions: str = "", limit: int = search.MAX_VARIANTS, beyond: str = "error") -> DataFrame:
+        """Words that a query stands for; over its limit it is an error, or with beyond="scan" answered by a pass over the table."""
         q = search.FuzzyQuery(pattern.strip().upper(), self.k, distance, search.parse_positions(positions), limit)
-        return search.search(self.rows, [q])
+        return search.search(self.rows, [q], beyond)
 
-    def fuzzy_batch(self, patterns_: list[str], distance: int = 0, positions: str = "", limit: int = search.MAX_VARIANTS) -> DataFrame:
+    def fuzzy_batch(self, patterns_: list[str], distance: int = 0, positions: str = "", limit: int = search.MAX_VARIANTS, fail_fast: bool = False) -> DataFrame:
         groups = search.parse_positions(positions)
-        return search.search_batch(self.rows, [search.FuzzyQuery(p.strip().upper(), self.k, distance, groups, limit) for p in patterns_])
+        return search.search_batch(self.rows, [search.FuzzyQuery(p.strip().upper(), self.k, distance, groups, limit) for p in patterns_], fail_fast)
 
     def top(self, n: int) -> DataFrame:
         return counting.top_words(self.rows, n)
@@ -202,7 +203,7 @@ class KmerTable:
     def stats(self, approximate: bool = False, strict: bool = False) -> DataFrame:
         return stats.summary(self.rows, approximate, strict)
 
-    def histogram(self, fill: bool = True, most_bins: int | None = 1000) -> DataFrame:
+    def histogram(self, fill: bool = True, most_bins: int | None = None) -> DataFrame:
         return stats.histogram(self.rows, fill, most_bins)
 
     def percentiles(self) -> DataFrame:
@@ -252,7 +253,7 @@ def compatibility(tables: list[KmerTable], mixed: bool = False) -> list[str]:
     return found
 
 
-def merge(tables: list[KmerTable], policy: str = "saturate", mixed: bool = False) -> KmerTable:
+def merge(tables: list[KmerTable], policy: str = "exact", mixed: bool = False) -> KmerTable:
     """One table of the sums. With mixed, plain tables are made canonical if any other is."""
     against = compatibility(tables, mixed)
     if against:

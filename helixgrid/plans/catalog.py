@@ -7,16 +7,15 @@ query runs over its whole tables.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seqf
-from ..operators import counting, merging, patterns, recipes, windows
+from ..operators import merging, patterns, recipes, windows
 from ..operators.table import KmerTable, merge
 from ..sources import sequences as sources
-from ..streaming.counter import counted_stream, run_to_table
+from ..sources.shared import new_path
+from ..streaming.counter import counted_stream, run_to_path
 
 K = 11
 PLAIN_K = 9
@@ -248,10 +247,10 @@ def stats_basic(spark, sf_dir):
     return documents(spark, sf_dir).stats()
 
 
-@query(f"""{T}, h AS (SELECT "count", count(*) AS frequency FROM t GROUP BY 1), e AS (SELECT min("count") AS lo, least(max("count"), greatest(1000, min("count") + 999)) AS hi FROM h),
+@query(f"""{T}, h AS (SELECT "count", count(*) AS frequency FROM t GROUP BY 1), e AS (SELECT min("count") AS lo, max("count") AS hi FROM h),
 bins AS (SELECT unnest(range(lo, hi + 1)) AS "count" FROM e) SELECT bins."count", coalesce(frequency, 0) AS frequency FROM bins LEFT JOIN h ON h."count" = bins."count\"""")
 def stats_histogram(spark, sf_dir):
-    return documents(spark, sf_dir).histogram(most_bins=None)
+    return documents(spark, sf_dir).histogram()
 
 
 @query(f"""{T}, s AS (SELECT list_sort(list("count")) AS l, count(*) AS n FROM t)
@@ -267,7 +266,7 @@ def _two(spark, sf_dir, canonical: bool = False) -> tuple[KmerTable, KmerTable]:
     return documents(spark, sf_dir, PLAIN_K, False), KmerTable.count(benchmark(spark, sf_dir), PLAIN_K, canonical)
 
 
-@query(f'{_TWO} SELECT kmer, least(sum("count"), {counting.CEILING})::BIGINT AS "count" FROM (SELECT * FROM t UNION ALL SELECT * FROM u) GROUP BY 1')
+@query(f'{_TWO} SELECT kmer, sum("count")::BIGINT AS "count" FROM (SELECT * FROM t UNION ALL SELECT * FROM u) GROUP BY 1')
 def merge_two(spark, sf_dir):
     return merge(list(_two(spark, sf_dir))).rows
 
@@ -375,9 +374,8 @@ def stream_count(spark, sf_dir):
     """The count as a stream over the documents' files, run until it has caught up."""
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path}*").select(seqf.text_to_bases(F.col("text")).alias("seq"))
-    name = f"stream_count_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/helixgrid-streams"
-    done = run_to_table(counted_stream(stream, 7, True), name, f"{base}/{name}")
-    done.awaitTermination()
-    return spark.table(name)
+    # A stream reads folders or patterns; this pattern stands for the one name.
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[t]").select(seqf.text_to_bases(F.col("text")).alias("seq"))
+    base = new_path(spark, "stream-count")
+    run_to_path(counted_stream(stream, 7, True), f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/rows")

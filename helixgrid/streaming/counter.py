@@ -24,6 +24,13 @@ def windowed_stream(sequences: DataFrame, k: int, time: str, width: str, late: s
     return words.groupBy(F.window(time, width), "kmer").agg(F.count("*").alias("count")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "kmer", "count")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs over what is there now and keeps the result as an in-memory table."""
-    return stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_path(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Runs over what is there now and keeps the result as Parquet: the last whole result (complete), or every row that is final (append).
+
+    Rows go from the tasks to the files. A batch that is run again writes the same folder again.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ import pytest
 from helixgrid import cli
 from helixgrid.operators.table import KmerTable, TableError
 from helixgrid.sources import binary_table, exports, sequences
-from helixgrid.streaming.counter import run_to_table, windowed_stream
+from helixgrid.streaming.counter import run_to_path, windowed_stream
 
 FASTA = ">one first record\nACGT\nACGT\n\n>two\nNNACGTT\n>three x\nacgt"
 FASTQ = "@r1 a\nACGT\n+\nIIII\n@r2\nACNT\n+r2\nI#II\n"
@@ -136,6 +136,6 @@ def test_windowed_stream(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "ACGTA"), ("2024-01-01 00:05:10", "ACGTT")], "ts string, seq string").selectExpr("timestamp(ts) ts", "seq")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run_to_table(windowed_stream(stream, 4, "ts", "1 minute", "1 minute"), "win", str(tmp_path / "cp"), "append").awaitTermination()
-    got = {(str(r["start"]), r["kmer"], r["count"]) for r in spark.table("win").collect()}
+    run_to_path(windowed_stream(stream, 4, "ts", "1 minute", "1 minute"), str(tmp_path / "win"), str(tmp_path / "cp"), "append").awaitTermination()
+    got = {(str(r["start"]), r["kmer"], r["count"]) for r in spark.read.parquet(str(tmp_path / "win")).collect()}
     assert got >= {("2024-01-01 00:00:00", "ACGT", 1), ("2024-01-01 00:00:00", "CGTA", 1)}

@@ -79,7 +79,8 @@ def test_patterns(spark, seqs):
     assert pairs(t.prefix("ACGTACG", loose=True)) == like(lambda w: w == "ACGTACG") and not pairs(t.prefix("", loose=True)) and not pairs(t.prefix("ACGTACGT", loose=True))
     assert pairs(t.suffix("TT")) == like(lambda w: w.endswith("TT"))
     assert pairs(t.gapped("A{N3}ACA")) == like(lambda w: w[0] == "A" and w.endswith("ACA"))
-    assert pairs(t.gapped("AC{N0}GG")) == pairs(t.prefix("AC")) == pairs(t.gapped("AC"))
+    assert pairs(t.gapped("AC")) == pairs(t.prefix("AC"))
+    assert pairs(t.gapped("ACG{N0}TACG")) == like(lambda w: w == "ACGTACG")
     assert pairs(t.wildcard("ANNTACA")) == like(lambda w: w[0] == "A" and w[3:] == "TACA")
     assert pairs(t.wildcard("NNNTNNA")) == like(lambda w: w[3] == "T" and w[6] == "A")
     assert {(r["prefix"], r["kmer"]) for r in t.prefixes(["AC", "GATT", "ACGT", "X" * 9]).collect()} == {(p, w) for p in ("AC", "GATT", "ACGT") for w in want if w.startswith(p)}
@@ -89,7 +90,7 @@ def test_patterns(spark, seqs):
     for bad in ("", "ACGTACG", "ANC"):
         with pytest.raises(patterns.PatternError):
             t.prefix(bad)
-    for bad in ("A{N3}AC", "A{X}C", "A{N", "NAC"):
+    for bad in ("A{N3}AC", "A{X}C", "A{N", "NAC", "AC{N0}GG"):
         with pytest.raises(patterns.PatternError):
             t.gapped(bad)
     assert patterns.parse_gap("AC{N}GT") == patterns.GapPattern("AC", 1, "GT")
@@ -102,6 +103,21 @@ def test_prefix_is_pushed_down(spark, seqs, tmp_path):
     assert "StringStartsWith(kmer,AC)" in plan
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 13, 15, 16, 21, 31])
+def test_codes_equal_windows(spark, seqs, k, monkeypatch):
+    """Counting by codes against a row for each window, also over seams of pieces and blocks."""
+    from helixgrid.operators import codes
+
+    rng = random.Random(k)
+    rows = [(i, "".join(rng.choice("ACGTacgtN\n") if rng.random() < 0.2 else rng.choice("ACGT") for _ in range(rng.randrange(400)))) for i in range(60)] + [(60, None), (61, ""), (62, "ÄACGT" * 40)]
+    df = spark.createDataFrame(rows, "record_id long, seq string").union(seqs.select("record_id", "seq"))
+    for piece, block in ((1 << 20, 1 << 16), (50, 37)):
+        monkeypatch.setattr(codes, "PIECE", piece)
+        monkeypatch.setattr(codes, "BLOCK", block)
+        for canonical in (False, True):
+            assert pairs(counting.count_words(df, k, canonical)) == pairs(counting.exploded_counts(df, k, canonical))
+
+
 def test_stats(spark, seqs):
     t, want = KmerTable.count(seqs, 3), sorted(counts(3, False).values())
     r = t.stats().first()
@@ -114,18 +130,37 @@ def test_stats(spark, seqs):
     p = t.percentiles().first()
     assert all(p[f"p{q}"] == want[n * q // 100] for q in (25, 75, 90, 95, 99)) and p["median"] == (want[(n - 1) // 2] + want[n // 2]) // 2
     big = KmerTable.from_pairs(spark, [("AAA", 1), ("AAC", 5000)], 3)
-    bins = [x["count"] for x in big.histogram().collect()]
-    assert max(bins) == 1000 and len(bins) == 1000 and big.histogram(most_bins=5000).count() == 5000
+    bins = {x["count"]: x["frequency"] for x in big.histogram().collect()}
+    assert len(bins) == 5000 and sum(bins.values()) == 2
+    for most in (1, 10, 1000, 5000, 9000):
+        bins = {x["count"]: x["frequency"] for x in big.histogram(most_bins=most).collect()}
+        assert sum(bins.values()) == 2 and len(bins) == min(most, 5000) == max(bins)
     empty = KmerTable.empty(spark, 3)
     with pytest.raises(stats.EmptyTable):
         empty.stats(strict=True)
     assert empty.stats().first()["unique_kmers"] == 0 and empty.histogram().count() == 0
 
 
+def test_percentiles_of_wide_counts(spark):
+    rng = random.Random(9)
+    words = ["".join(w) for w in product("ACGT", repeat=5)]
+    for n in (1, 2, 3, 100, 1024):
+        got = [rng.randrange(1, 1 << rng.randrange(2, 60)) for _ in range(n)]
+        p = KmerTable.from_pairs(spark, list(zip(words, got, strict=False)), 5).percentiles().first()
+        want = sorted(got)
+        assert all(p[f"p{q}"] == want[n * q // 100] for q in (25, 75, 90, 95, 99))
+
+
+def test_merge_keeps_large_sums(spark):
+    one = KmerTable.from_pairs(spark, [("AAA", 4_294_967_290)], 3)
+    assert merge([one, KmerTable.from_pairs(spark, [("AAA", 100)], 3)]).get("AAA") == 4_294_967_390
+    assert merge([one, KmerTable.from_pairs(spark, [("AAA", 100)], 3)], "saturate").get("AAA") == counting.CEILING
+
+
 def test_whole_histogram(spark):
     """Counts over 1000 and over a block of bins stay, through the registered query too."""
     rare = KmerTable.from_pairs(spark, [("AAA", 1), ("AAC", 5000), ("AAG", 5000), ("AAT", stats.FILL + 7)], 3)
-    bins = {x["count"]: x["frequency"] for x in rare.histogram(most_bins=None).collect()}
+    bins = {x["count"]: x["frequency"] for x in rare.histogram().collect()}
     assert sorted(bins) == list(range(1, stats.FILL + 8)) and {c: n for c, n in bins.items() if n} == {1: 1, 5000: 2, stats.FILL + 7: 1}
     sf = "/root/testdata/sf0.01"
     rows, got = catalog.documents(spark, sf).rows, catalog.QUERIES["stats_histogram"](spark, sf)
@@ -136,8 +171,8 @@ def test_whole_histogram(spark):
 def test_merge(spark):
     a = KmerTable.from_pairs(spark, [("AAA", 3), ("ACG", 2)], 3)
     b = KmerTable.from_pairs(spark, [("AAA", counting.CEILING), ("TTT", 1)], 3)
-    assert pairs(merge([a, b]).rows) == {"AAA": counting.CEILING, "ACG": 2, "TTT": 1}
-    assert pairs(merge([a, b], "exact").rows)["AAA"] == counting.CEILING + 3
+    assert pairs(merge([a, b], "saturate").rows) == {"AAA": counting.CEILING, "ACG": 2, "TTT": 1}
+    assert pairs(merge([a, b]).rows)["AAA"] == counting.CEILING + 3
     with pytest.raises(Exception, match="passed"):
         merge([a, b], "error").rows.collect()
     c = KmerTable.from_pairs(spark, [("TTT", 4)], 3, True)
@@ -223,6 +258,26 @@ def test_fuzzy_batch(spark, seqs):
     assert [r["count"] for r in top] == sorted((r["count"] for r in found.collect()), reverse=True)[:2]
 
 
+def test_fuzzy_beyond_the_limit(spark, seqs, monkeypatch):
+    """Over the limit: an error, or the same words by a scan; a batch tells each query's error."""
+    t = KmerTable.count(seqs, 5)
+    with pytest.raises(fuzzy.TooManyVariants):
+        t.fuzzy("NNNNN", limit=100)
+    order = ["sequence", "count", "match_type", "distance"]
+    for pattern, distance, positions in (("NNNNN", 0, ""), ("GATTA", 2, ""), ("GANTA", 1, ""), ("GATT", 1, ""), ("GATTACA", 1, ""), ("GATTA", 0, "0,1:1;3-4:2"), ("ANNTA", 0, "0,1:1")):
+        listed = sorted(tuple(r) for r in t.fuzzy(pattern, distance, positions).select(*order).collect())
+        assert listed and listed == sorted(tuple(r) for r in t.fuzzy(pattern, distance, positions, limit=1, beyond="scan").select(*order).collect())
+    with pytest.raises(fuzzy.FuzzyError):
+        t.fuzzy_batch(["GATTA", "GAX"], 1, fail_fast=True)
+    batch = [tuple(r) for r in t.fuzzy_batch(["GATTA", "GAX", "NNNNN", "CGCGC"], 1, limit=200).orderBy("query_id").collect()]
+    assert [r[-1].split(":")[0] for r in batch] == ["ok", "error", "too many variants", "ok"]
+    monkeypatch.setattr(fuzzy, "TOGETHER", 0)
+    assert batch == [tuple(r) for r in t.fuzzy_batch(["GATTA", "GAX", "NNNNN", "CGCGC"], 1, limit=200).orderBy("query_id").collect()]
+    wide = fuzzy.FuzzyQuery("NNNN" + "ACGTTGCAACGTACGTA", 21, 2, limit=10_000)
+    with pytest.raises(fuzzy.TooManyVariants):
+        wide.expand()
+
+
 def test_fuzzy_rules():
     assert fuzzy.parse_positions("3,4,5:2;6-8:1") == (fuzzy.PositionGroup((3, 4, 5), 2), fuzzy.PositionGroup((6, 7, 8), 1))
     assert fuzzy.parse_positions(" ") == ()
@@ -242,7 +297,7 @@ def test_fuzzy_rules():
     assert len(fuzzy.mutations("ACGTAC", 2)) == fuzzy.exact_mutations(6, 2) == fuzzy.estimate_mutations(6, 2) == 1 + 18 + 135
     assert fuzzy.estimate_mutations(10, 3) == 1 + 30 + 45 * 9 + 1000 // 27 * 27
     assert fuzzy.normalise_length("ACG", 5) == ["ACGNN", "NACGN", "NNACG"] and fuzzy.normalise_length("ACGTA", 4) == ["ACGT", "CGTA"]
-    assert fuzzy.normalise_likely("ACG", 5) == ["NNACG", "ACGNN", "NACGN"] and fuzzy.normalisation_report("ACG", 5)["type"] == "padded"
+    assert fuzzy.normalise_likely("ACG", 5) == ["NACGN", "ACGNN", "NNACG"] and fuzzy.normalisation_report("ACG", 5)["type"] == "padded"
     assert fuzzy.FuzzyQuery("ACGTN", 5).estimate() == 4
 
 

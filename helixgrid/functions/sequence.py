@@ -7,6 +7,8 @@ minima need no numeric form.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,7 +87,14 @@ def unpacked(code: Column, k: int) -> Column:
     """The word of k bases with that code; the empty string where k is out of range."""
     if not 1 <= k <= 31:
         return F.lit("")
-    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    # Four bases at a time by place in the list of all words of four; the first part has what is left.
+    sizes = [4] * (k // 4) if k % 4 == 0 else [k % 4, *[4] * (k // 4)]
+    parts, left = [], k
+    for n in sizes:
+        left -= n
+        words = F.lit(["".join(w) for w in product(BASES, repeat=n)])
+        parts.append(F.get(words, F.shiftright(code, 2 * left).bitwiseAND(F.lit(4**n - 1).cast("long")).cast("int")))
+    return F.concat(*parts)
 
 
 def unpacked_wide(code: Column, k: int) -> Column:

@@ -34,11 +34,18 @@ def query(sql: str | None):
     return add
 
 
+def _tasks(rows: DataFrame) -> int:
+    """How many tasks a scan has that read rows: row groups are never split, so files count, not the pieces planned of them."""
+    return min(len(rows.inputFiles()), rows.rdd.getNumPartitions())
+
+
 def sequences(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
     """record_id, seq. A table stored as one file is one task of the scan; it is dealt to all cores before words are cut."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("record_id"), seqf.text_to_bases(F.col(text)).alias("seq"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("record_id"), F.col(text).alias("_text"))
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    dealt = rows.repartition(2 * cores) if _tasks(rows) < cores else rows
+    # Letters become bases after the rows are dealt.
+    return dealt.select("record_id", seqf.text_to_bases(F.col("_text")).alias("seq"))
 
 
 def documents(spark: SparkSession, sf_dir: str, k: int = K, canonical: bool = True) -> KmerTable:

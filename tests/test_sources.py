@@ -2,6 +2,7 @@ import bz2
 import gzip
 import json
 import lzma
+import random
 import struct
 
 import pytest
@@ -43,6 +44,53 @@ def test_readers(spark, files):
     assert sequences.read_sequences(spark, [str(files)]).count() == 3 + 3 + 5
 
 
+def test_spark_readers(spark, files, tmp_path):
+    """The readers on Spark's file systems against the line parsers, with files cut into many pieces."""
+    assert sorted((r["record_id"], r["description"], r["seq"]) for r in sequences.read_fasta(spark, str(files), strict=True).collect()) == sorted(sequences.fasta_records(FASTA.splitlines()))
+    assert sorted(r["record_id"] for r in sequences.read_fastq(spark, str(files)).collect()) == ["r1", "r1", "r2", "r2", "r3"]
+    assert {r["seq"] for r in sequences.read_fasta(spark, "file://" + str(files / "a.fa")).collect()} == {"ACGTACGT", "NNACGTT", "acgt"}
+    rng = random.Random(6)
+    reads = []
+    for i in range(300):
+        n = rng.choice([0, 1, 2, 5, 40])
+        qual = "".join(rng.choice("@@@+>I#") for _ in range(n))
+        reads.append((f"q{i}", rng.choice(["", "about it"]), "".join(rng.choice("ACGTN") for _ in range(n)), qual))
+    (tmp_path / "in").mkdir()
+    for name, end in (("unix.fq", "\n"), ("dos.fastq", "\r\n"), ("bare.FQ", "\n")):
+        text = "".join(f"@{a}{' ' + b if b else ''}{end}{s}{end}+{end}{q}{end}" for a, b, s, q in reads)
+        (tmp_path / "in" / name).write_bytes((text.rstrip("\n") if name == "bare.FQ" and reads[-1][3] else text).encode())
+    genes = [(f"g{i}", "", "".join(rng.choice("ACGTN") for _ in range(rng.randrange(300)))) for i in range(60)]
+    wrapped = [f">{a}\n" + "".join(s[j : j + 60] + "\n" for j in range(0, len(s), 60)) for a, _, s in genes]
+    (tmp_path / "in" / "g.fasta").write_text("\n".join(wrapped))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (held, "97", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sequences.read_fastq(spark, str(tmp_path / "in")).collect()
+            assert sorted((r["record_id"], r["description"], r["seq"], r["qual"]) for r in got) == sorted(reads * 3)
+            assert sorted((r["record_id"], r["description"], r["seq"]) for r in sequences.read_fasta(spark, str(tmp_path / "in")).collect()) == sorted(genes)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    for i, bad in enumerate(("@a\nAC\n+\nI\n", "@a\nAC\n", "a\nAC\n+\n@I\nAC\n", "@a\nAC\nxx\nII\n", "@a\nAC\n+\n@r\nAC\n+\nII\n")):
+        (tmp_path / f"bad{i}.fq").write_text(bad)
+        with pytest.raises(Exception, match="no record of four lines"):
+            sequences.read_fastq(spark, str(tmp_path / f"bad{i}.fq")).collect()
+    (tmp_path / "bad.fa").write_text("ACGT\n>x\nAC\n")
+    with pytest.raises(sequences.SequenceError):
+        sequences.read_fasta(spark, str(tmp_path / "bad.fa"), strict=True)
+    with pytest.raises(FileNotFoundError):
+        sequences.read_fasta(spark, str(tmp_path / "nowhere"))
+
+
+def test_discovery_through_spark(spark, files):
+    found = sequences.discovered(spark, str(files))
+    want = {(f.path.rsplit("/", 1)[1], f.kind, f.bytes, f.compressed) for f in sequences.discover(str(files))}
+    assert {(r["path"].rsplit("/", 1)[1], r["kind"], r["bytes"], r["compressed"]) for r in found.collect()} == want
+    assert sequences.discovered(spark, str(files), depth=0).count() == 3 and sequences.discovered(spark, str(files), "fastq").count() == 2
+    assert sequences.discovered(spark, str(files), least=10**6).count() == 0 == sequences.discovered(spark, str(files), most=1).count()
+    assert {r["kind"]: (r["files"], r["compressed"]) for r in sequences.summary_of(found).collect()} == {"fasta": (2, 1), "fastq": (2, 2)}
+
+
 def test_discovery(spark, files):
     found = sequences.discover(str(files))
     assert [f.path.rsplit("/", 1)[1] for f in found] == ["a.fa", "c.fq.bz2", "d.fasta.xz", "b.fastq.gz"]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,17 @@ def open_table(spark: SparkSession, path: str) -> KmerTable:
     return binary_table.read_binary(spark, path) if os.path.isfile(local_path(path)) else KmerTable.load(spark, path)
 
 
-def put(df: DataFrame, kind: str, path: str | None) -> None:
-    text = exports.formatted(df, kind)
+def put_lines(lines: Iterable[str], path: str | None) -> None:
+    """Line by line to a file or the terminal."""
     if path:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines(line + "\n" for line in lines)
     else:
-        sys.stdout.write(text)
+        sys.stdout.writelines(line + "\n" for line in lines)
+
+
+def put(df: DataFrame, kind: str, path: str | None) -> None:
+    put_lines(exports.rows_as(df, kind), path)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -75,8 +80,10 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("table")
         if name == "fuzzy-query":
             f.add_argument("pattern")
+            f.add_argument("--scan", action="store_true", help="answer a query over the limit by a pass over the table")
         else:
             f.add_argument("file", help="one pattern per line; what follows | is ignored")
+            f.add_argument("--fail-fast", action="store_true", help="stop at the first query that is malformed or over the limit")
         f.add_argument("--distance", type=int, default=0)
         f.add_argument("--positions", default="")
         f.add_argument("--limit", type=int, default=fuzzy.MAX_VARIANTS)
@@ -163,16 +170,11 @@ def run(a: argparse.Namespace) -> int:
             asked = spark.createDataFrame([(w.upper(),) for w in a.words if len(w) == t.k], "kmer string")
             put(t.lookup(asked).where("found").select("kmer", "count"), a.format, a.output)
     elif a.verb == "dump":
-        text = "\n".join(exports.dump_lines(t, a.limit)) + "\n"
-        if a.output:
-            with open(a.output, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            sys.stdout.write(text)
+        put_lines(exports.lines_dump(t, a.limit), a.output)
     elif a.verb == "fuzzy-query":
-        put(t.fuzzy(a.pattern, a.distance, a.positions, a.limit).select("query", "sequence", "count", "match_type", "distance").orderBy(F.desc("count"), "sequence"), a.format, a.output)
+        put(t.fuzzy(a.pattern, a.distance, a.positions, a.limit, "scan" if a.scan else "error").select("query", "sequence", "count", "match_type", "distance").orderBy(F.desc("count"), "sequence"), a.format, a.output)
     elif a.verb == "fuzzy-query-batch":
-        put(t.fuzzy_batch(patterns_of(spark, a.file), a.distance, a.positions, a.limit).orderBy("query_id"), a.format, a.output)
+        put(t.fuzzy_batch(patterns_of(spark, a.file), a.distance, a.positions, a.limit, a.fail_fast).orderBy("query_id"), a.format, a.output)
     elif a.verb == "stats":
         put(t.histogram(most_bins=a.max_bins).orderBy("count") if a.histogram else t.stats(a.approximate, strict=True), a.format, a.output)
     elif a.verb == "prefix-query":

@@ -19,6 +19,15 @@ def sum_tables(tables: list[DataFrame], policy: str = "exact") -> DataFrame:
     return every.groupBy("kmer").agg(F.sum("count").alias("_sum")).select("kmer", capped(F.col("_sum"), policy).alias("count"))
 
 
+def merge_report(tables: list[DataFrame]) -> DataFrame:
+    """inputs, rows_in, rows_out, shared (rows that met one of another table), total_kmers of a merge, in one pass."""
+    if not tables:
+        raise ValueError("nothing to merge")
+    per = reduce(DataFrame.unionByName, [t.select("kmer", "count") for t in tables]).groupBy("kmer").agg(F.count("*").alias("n"), F.sum("count").alias("s"))
+    rows_in = F.coalesce(F.sum("n"), F.lit(0))
+    return per.agg(F.lit(len(tables)).alias("inputs"), rows_in.alias("rows_in"), F.count("*").alias("rows_out"), (rows_in - F.count("*")).alias("shared"), F.coalesce(F.sum("s"), F.lit(0)).alias("total_kmers"))
+
+
 def to_canonical(table: DataFrame) -> DataFrame:
     """The rows of a table under their canonical words (not summed yet)."""
     return table.select(canonical_of(F.col("kmer")).alias("kmer"), "count")

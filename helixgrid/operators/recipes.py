@@ -76,6 +76,17 @@ def flank_pattern(sequence: str, first: int, last: int, k: int) -> tuple[str, in
     return a.upper(), gap, b.upper()
 
 
+def flanks(sequences: DataFrame, k: int, seq: str = "seq", key: str = "record_id") -> DataFrame:
+    """key, first, last, prefix, gap, suffix for every gap of a record that a window of k can centre; see flank_pattern."""
+    from ..functions.sequence import gaps
+
+    rows = sequences.select(key, F.col(seq).alias("_s"), F.explode(gaps(F.col(seq))).alias("_g")).select(key, "_s", F.col("_g.first").alias("first"), F.col("_g.last").alias("last"))
+    rest = rows.withColumn("gap", F.col("last") - F.col("first") + 1).withColumn("_n", k - F.col("gap")).where("_n >= 2").withColumn("_l", F.floor(F.col("_n") / 2).cast("int"))
+    whole = rest.where("first >= _l").withColumn("prefix", F.upper(F.substring(F.col("_s"), F.col("first") - F.col("_l") + 1, F.col("_l")))).withColumn("suffix", F.upper(F.substring(F.col("_s"), F.col("last") + 2, F.col("_n") - F.col("_l"))))
+    good = whole.where((F.length("suffix") == F.col("_n") - F.col("_l")) & ~F.concat("prefix", "suffix").contains("N"))
+    return good.select(key, "first", "last", "prefix", "gap", "suffix")
+
+
 def gap_candidates(table: DataFrame, regions: DataFrame) -> DataFrame:
     """regions: region, prefix, suffix -> region, kmer, count, polymers of the words that fit.
 

@@ -85,14 +85,14 @@ def discover(root: str, kind: str | None = None, least: int = 0, most: int | Non
     return sorted(found, key=lambda f: f.path)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of a path in any of Hadoop's file systems."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_path(spark, path)
+    fs, p = hadoop_path(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(path)
     return fs.getFileStatus(p).isDirectory()
@@ -110,9 +110,9 @@ def file_pattern(kind: str, compressed: tuple[str, ...] = ("gz", "bz2")) -> str:
 def discovered(spark: SparkSession, root: str, kind: str | None = None, least: int = 0, most: int | None = None, depth: int | None = None) -> DataFrame:
     """path, kind, bytes, compressed of the sequence files under a folder of any file system, listed by Spark without reading them.
 
-    Names that start with a dot or an underscore are skipped, as everywhere in Spark.
+    Names that start with a dot or an underscore and files without a byte are skipped, as everywhere in Spark.
     """
-    fs, p = _hadoop_path(spark, root)
+    fs, p = hadoop_path(spark, root)
     base = fs.makeQualified(p).toString().rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
@@ -141,10 +141,10 @@ def discovery_summary(spark: SparkSession, found: list[Found]) -> DataFrame:
     return summary_of(spark.createDataFrame([(f.kind, f.bytes, f.compressed) for f in found], "kind string, bytes long, compressed boolean"))
 
 
-def _marked(spark: SparkSession, path: str, kind: str, marker: str) -> DataFrame:
+def _marked(spark: SparkSession, path: str, kind: str, marker: str, names: str | None) -> DataFrame:
     reader = spark.read.option("lineSep", "\n" + marker).option("recursiveFileLookup", True)
     if is_folder(spark, path):
-        reader = reader.option("pathGlobFilter", file_pattern(kind))
+        reader = reader.option("pathGlobFilter", names or file_pattern(kind))
     return reader.text(path)
 
 
@@ -155,14 +155,14 @@ def _named(head: Column) -> tuple[Column, Column]:
     return first, F.trim(F.substring(head, F.length(first) + 1, F.length(head)))
 
 
-def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """file, record_id, description, seq of a file or of all FASTA files under a folder.
+def read_fasta(spark: SparkSession, path: str, strict: bool = False, names: str | None = None) -> DataFrame:
+    """file, record_id, description, seq of a file or of all FASTA files under a folder (names: a glob instead of the known endings).
 
     Lines of a sequence are joined and white space inside is dropped; markers repeated at the start of a
     header count once; a record without name and sequence is dropped. strict: a pass first makes sure that
     every file begins with a header.
     """
-    rows = _marked(spark, path, "fasta", ">").select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = _marked(spark, path, "fasta", ">", names).select(F.col("_metadata.file_path").alias("file"), "value")
     if strict:
         bad = rows.where(F.col("value").rlike(r"\S")).groupBy("file").agg(F.count_if(F.ltrim("value").startswith(">")).alias("n")).where("n = 0").head()
         if bad:
@@ -175,15 +175,15 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return rows.select("file", name.alias("record_id"), about.alias("description"), body.alias("seq")).where("record_id <> '' or seq <> ''")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """file, record_id, description, seq, qual of a file or of all FASTQ files under a folder; records of four lines.
+def read_fastq(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """file, record_id, description, seq, qual of a file or of all FASTQ files under a folder (names: as read_fasta); records of four lines.
 
     A quality may begin with the marker, and is then cut from its record. Such halves are known by their number
     of lines and are joined again by their places: next to each other in a task, or at the seam of two pieces of
     a file. Halves that find no partner, and qualities of another length than their sequence, are errors.
     """
     meta = F.col("_metadata")
-    raw = _marked(spark, path, "fastq", "@").select(meta["file_path"].alias("file"), meta["file_block_start"].alias("_start"), (meta["file_block_start"] + meta["file_block_length"]).alias("_end"), F.monotonically_increasing_id().alias("_n"), F.rtrim("value", F.lit("\r\n")).alias("_v"))
+    raw = _marked(spark, path, "fastq", "@", names).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("_start"), (meta["file_block_start"] + meta["file_block_length"]).alias("_end"), F.monotonically_increasing_id().alias("_n"), F.rtrim("value", F.lit("\r\n")).alias("_v"))
     rows = raw.withColumn("_l", F.split("_v", "\r?\n"))
     lines = F.size("_l")
     at = lambda i: F.get("_l", F.lit(i))

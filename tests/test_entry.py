@@ -5,9 +5,9 @@ import sys
 import __spark_entry__
 import pytest
 
-from helixgrid.plans import catalog
+from helixgrid.plans import catalog, files  # noqa: F401
 
-TABLES = ("documents", "benchmark", "part")
+TABLES = ("documents", "benchmark", "part", "events")
 
 
 def test_entry(spark):
@@ -37,3 +37,25 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(got.columns) == columns
     got, want = (d[columns].astype(str).sort_values(columns, ignore_index=True) for d in (got, want))
     assert got.equals(want)
+
+
+def test_stored_queries_push_down(spark, sf):
+    """A prefix reaches the scan of the stored table, in the registered queries."""
+    for name, prefix in (("stored_prefix", "ACGC"), ("stored_hybrid", "AC")):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert f"StringStartsWith(kmer,{prefix})" in plan.split("PushedFilters")[1]
+
+
+def test_folders_deleted(tmp_path):
+    """The rest imports and answers after the corpus folders and the pipeline are deleted."""
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json"))
+    shutil.rmtree(copy / "helixgrid" / "llm", ignore_errors=True)
+    shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 70 and set(e.oracle_sql()) <= set(e.queries()) and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_sequence.py"], cwd=copy, check=True, timeout=600)

@@ -12,8 +12,12 @@ machine is fitted on a bounded sample of labelled rows by AdaGrad; scoring is
 one map over the documents and needs no shuffle.
 
 Defined cases: null and empty texts have no word coordinates and are scored
-by their statistics; null n_chars counts as the text's own length; repeated
-rows get equal scores; null ids count as the empty text for the fold; an empty
+by their statistics; null n_chars counts as the text's own length, and so does a
+table without that column; very long texts are scored whole, a text at a time;
+repeated rows and ties get equal scores; of several documents under one
+labelled id the one of the smallest hash is learned from, so an id on very many rows
+does not enlarge the sample; null ids count as the empty text for the fold;
+further columns, whatever their names, are not read; an empty
 table gives an empty result; without labels of both kinds every score is the
 share of good labels (0.5 without any).
 """
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, remainder, sampled, sent, split_words
@@ -126,10 +130,18 @@ def train(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], good: n
     return m
 
 
+def _n_chars(docs: DataFrame) -> Column:
+    """The table's own count of characters; null, which stands for the text's length, in a table without one."""
+    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6000, key: str = "doc_id", text: str = "text") -> Machine:
-    """Learns from about `sample` labelled documents at most, none of them of fold 0."""
+    """Learns from about `sample` labelled ids at most, one document each, none of them of fold 0."""
     marked = labels.where("quality is not null").where(remainder(key, folds) != 0).select(F.col(key).alias("key"), F.col("quality").cast("int").alias("good")).dropDuplicates(["key"])
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("n_chars").cast("double").alias("n_chars")).join(sampled(marked, "key", sample), "key")
+    every = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _n_chars(docs).alias("n_chars")).join(sampled(marked, "key", sample), "key")
+    # One text for each label, however many rows share its id: the one of the smallest hash.
+    row = F.struct("text", "n_chars", "good")
+    rows = every.groupBy("key").agg(F.min_by(row, F.xxhash64("text", "n_chars")).alias("r")).select("key", "r.*")
 
     def vectors(batches):
         known = WordHashes()
@@ -160,6 +172,6 @@ def quality_scores(docs: DataFrame, machine: Machine, folds: int = 5, threshold:
                 scores.append(_sigmoid(m.margins(*_vectors(stats, m, words)).astype(float)))
             yield pd.DataFrame({"key": pdf["key"].array, "held_out": pdf["held_out"].array, "score": np.concatenate(scores)})
 
-    rows = docs.select(F.col(key).alias("key"), (remainder(key, folds) == 0).alias("held_out"), F.col(text).alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
+    rows = docs.select(F.col(key).alias("key"), (remainder(key, folds) == 0).alias("held_out"), F.col(text).alias("text"), _n_chars(docs).alias("n_chars"))
     out = rows.mapInPandas(run, f"key {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("key", key)

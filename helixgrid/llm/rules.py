@@ -9,7 +9,9 @@ projection.
 
 Defined cases: null or empty text has zero words and fails the base; repeated
 rows are judged one by one; null ids are judged like others (they never match
-a label); an empty table gives an empty result; without labels of both kinds
+a label); of several documents under one labelled id the one of the smallest
+statistics is learned from, so an id on very many rows does not enlarge the
+sample; very long texts are read whole; an empty table gives an empty result; without labels of both kinds
 the list is empty and only the base decides. Only doc_id and text are read,
 so further columns cannot clash.
 """
@@ -233,9 +235,10 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, key: str = "doc_id") -> DecisionList:
-    """Learns from at most about `sample` labelled documents (quality 0 is the bad class)."""
+    """Learns from at most about `sample` labelled ids, one document each: the one of the smallest statistics (quality 0 is the bad class)."""
     marked = sampled(labels.select(F.col(key), F.col("quality")).where("quality is not null").dropDuplicates([key]), key, sample)
-    rows = stats.join(marked, key).select("quality", *[F.expr(s).alias(n) for n, s in FEATURES.items()]).toPandas().sort_values([*FEATURES, "quality"], ignore_index=True)
+    every = stats.join(marked, key).select(F.col(key).alias("_id"), "quality", *[F.expr(s).cast("double").alias(n) for n, s in FEATURES.items()])
+    rows = every.groupBy("_id").agg(F.min(F.struct("quality", *FEATURES)).alias("r")).select("r.*").toPandas().sort_values([*FEATURES, "quality"], ignore_index=True)
     bad = rows["quality"].to_numpy() == 0
     if not len(rows) or not bad.any() or bad.all():
         return DecisionList(())

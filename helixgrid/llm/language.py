@@ -11,8 +11,10 @@ learned from a short passage of itself, so short texts are told apart as well.
 
 Defined cases: null text, or no letter: `und` with score 1 - no machine is
 asked; a single learned language is always predicted; no learned language at
-all: `und`; repeated rows get equal answers; an empty table gives an empty
-result.
+all: `und`; very long texts are read whole; repeated rows get equal answers and
+are learned from once; rows that share an id, or have none, are drawn apart by
+their texts; further columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,14 +161,18 @@ class Identifier:
 
 
 def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = 4000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Identifier:
-    """Learns from at most `sample` texts, shared evenly between languages, none of the held-out fold."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(key, folds) != held)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(23)).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learns from about `sample` texts at most, shared evenly between languages, none of the held-out fold."""
+    # A row is drawn by its content, so rows of one id, or of none, are drawn apart; equal rows are one.
+    draw = F.xxhash64(F.col(key), F.col(text), F.col(lang), F.lit(23))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(key, folds) != held)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    # A row for each language reaches the driver; languages are few by nature.
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
     if not counts:
         return Identifier(None, {})
     each = max(1, sample // len(counts))
     chance = F.create_map(*[F.lit(v) for lang_, n in counts.items() for v in (lang_, min(1.0, each / n))])
     drawn = rows.where(F.pmod("draw", F.lit(1_000_000)) < F.lit(1_000_000) * chance[F.col("lang")])
+    drawn = drawn.groupBy("draw").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
 
     def batch(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

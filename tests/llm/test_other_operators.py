@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixgrid.llm import archives, fingerprints, language, licenses, quality
+from helixgrid.llm import archives, fingerprints, language, licenses, quality, rules
 from helixgrid.llm.queries import QUERIES
 
 
@@ -46,6 +46,79 @@ def test_machine_equals_pairwise_sum():
     assert abs(m.margins(ids, x, np.array([0]))[0] - want) < 1e-4
 
 
+def test_quality_scores_by_the_formula(spark, sf):
+    """Every score of the table against the machine's definition: all pairs of coordinates, one by one."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, m).collect()}
+    known = quality.WordHashes()
+    for r in docs.collect():
+        ids, x = quality._words(r["text"], known)
+        stats = np.array([quality._ratios(r["text"], r["n_chars"])], float)
+        ids, x = np.r_[m.stat_ids(stats)[0], ids], np.r_[np.ones(quality.STATS), x].astype(float)
+        v = m.factors[ids].astype(float)
+        gram = v @ v.T * np.outer(x, x)
+        want = m.bias + float((m.linear[ids].astype(float) * x).sum()) + float(np.triu(gram, 1).sum())
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(want, -35, 35)))) < 1e-4
+
+
+def _crowd(spark, n=4000):
+    """One id and no id on thousands of rows each, equal rows among them, beside some others."""
+    rows = [(1, f"the same id {i} " + "words of a text that goes on " * 3) for i in range(n)] + [(None, f"no id {i} " + "der hund und die katze " * 3) for i in range(n)]
+    rows += [(2, "an equal row of many words that is there again and again")] * n + [(i, f"document {i} le chien et le chat " * 4) for i in range(10, 60)]
+    return spark.createDataFrame([(i, t, ("en", "de", "fr")[j * 3 // len(rows)], len(t)) for j, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, n_chars long")
+
+
+def test_learning_is_bounded_by_ids(spark, monkeypatch):
+    docs = _crowd(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, *range(10, 60))], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda stats, words, good: seen.update(n=len(good)) or _train(stats, words, good))
+    rows = quality.quality_scores(docs.drop("n_chars"), quality.fit(docs.drop("n_chars"), labels)).collect()
+    assert seen["n"] <= 52 and len(rows) == docs.count()
+    learned = []
+    monkeypatch.setattr(rules, "learn", lambda x, bad: learned.append(len(bad)) or rules.DecisionList(()))
+    assert rules.quality_rules(docs, labels).count() == docs.count() and learned[0] <= 52
+    drawn = []
+    monkeypatch.setattr(language, "ladder", lambda x, names: drawn.append(len(names)) or _ladder(x, names))
+    model = language.fit(docs, sample=300)
+    # Two rows for each text drawn; the draw is about the sample's size.
+    assert 100 < drawn[0] < 2 * 300 * 1.5 and len(language.languages(docs, model).collect()) == docs.count()
+
+
+_train, _ladder = quality.train, language.ladder
+
+
+def test_language_scores_by_the_formula(spark, sf):
+    """Every prediction of the table against the machines applied one pair at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.languages(docs, model).collect()}
+
+    def decide(ladder, x):
+        if len(ladder.classes) == 1:
+            return ladder.classes[0], 1.0
+        wins, total, least = defaultdict(int), defaultdict(float), defaultdict(lambda: np.inf)
+        for (i, j), w, b in zip(ladder.pairs, ladder.weights, ladder.biases, strict=True):
+            margin = float(w @ x) + float(b)
+            for c, m in ((i, margin), (j, -margin)):
+                wins[c] += m > 0
+                total[c] += np.tanh(m)
+                least[c] = min(least[c], m)
+        best = max(range(len(ladder.classes)), key=lambda c: (wins[c] + total[c] / (4 * len(ladder.classes)), -c))
+        return ladder.classes[best], 1 / (1 + np.exp(-4 * np.clip(least[best], -8, 8)))
+
+    for r in docs.collect():
+        data = language.letters(r["text"])
+        if not data:
+            assert got[r["doc_id"]] == ("und", 1.0)
+            continue
+        x = language.features(data).astype(float)
+        family, sure = decide(model.families, x)
+        lang, also = decide(model.inside[family], x)
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - sure * also) < 1e-4
+
+
 def test_quality_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(odd, quality.fit(odd, labels)).collect()

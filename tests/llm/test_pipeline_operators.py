@@ -49,6 +49,18 @@ def test_rules_query(spark, sf):
     check_rules(got, docs_of(spark, sf))
 
 
+def test_rules_verdicts_by_the_list(spark, sf):
+    """kept of every document against the learned list, walked rule by rule."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = rules.text_stats(docs)
+    verdict = rules.fit(stats, labels)
+    shown = {r["doc_id"]: r for r in stats.select("doc_id", *[F.expr(q).cast("double").alias(n) for n, q in rules.FEATURES.items()]).collect()}
+    for r in QUERIES["op10_quality_rules"](spark, sf).collect():
+        x = shown[r["doc_id"]]
+        hit = any(all((x[c.feature] >= c.threshold) == c.above for c in rule) for rule in verdict.rules)
+        assert r["kept"] == (not r["base_failed"] and not hit)
+
+
 def test_rules_are_learned():
     rng = np.random.default_rng(1)
     x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}

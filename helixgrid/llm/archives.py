@@ -3,16 +3,19 @@
 An ARC record is one header line and a block of the length it declares. The
 line's fields depend on the version that the archive's first record names:
 version 1 has URL, IP address, date, type and length; version 2 has result
-code, checksum, location, offset and file name before the length. URLs may
-hold spaces, so fields are taken from the right. Each record becomes a WARC
+code, checksum, location, offset and file name before the length. URLs and types
+may hold spaces ("text/html; charset=utf-8"), so a line is read around its
+address and date; bytes that are no UTF-8 are read as Latin-1. Each record becomes a WARC
 record with a synthesised identifier, an ISO timestamp, a type (response for
 HTTP blocks, resource for others, revisit for repeated payloads) and SHA-1
 digests of block and payload.
 
 Records are written by Spark's text writer (gzip), whose rows pass bytes
 through unchanged, so any file system that Spark knows will do; a row holds a
-record without its last line feed. Reading takes whole files, which the
-writer keeps to the size of a shuffle partition, and walks declared lengths.
+record without its last line feed. A file is one gzip stream of the size of a
+shuffle partition (Spark's writer makes no member for each record), so records
+are not read by offset. Reading takes the compressed file and inflates it bit by
+bit along the declared lengths: a task holds one record, never the inflated file.
 
 Which of several equal payloads is the response is decided on (id, digest)
 rows: the largest id per digest is an aggregate that is combined before the
@@ -23,7 +26,9 @@ any other; a null or empty URL is written as `-`; control characters and
 line ends in a URL are percent-encoded; rows that share an id and a payload
 are all responses if the id is the largest; a null id is never referred to
 and is a response only where no equal payload has an id (its record has an
-identifier made from its content); an empty table gives an empty result.
+identifier made from its content); very long html is kept whole, a record at a
+time; of rows with equal ids each has its own record; further columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,34 +98,105 @@ def arc_bytes(records: list[Record], version: int = 1, name: str = "pages.arc")
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[Record]:
+#: What a version's line has after the type.
+_ARC_TAIL = {1: r"(\d+)", 2: r"(\S+) \S+ \S+ \S+ \S+ (\d+)"}
+#: URL, address, date, type and the tail; the last address with a date behind it counts, one of full length before others.
+_ARC_LINE = {v: [re.compile(rf"(.*) ([0-9A-Fa-f.:]+|-) ({date}) (.*) {tail}") for date in (r"\d{12,17}", r"\d+")] for v, tail in _ARC_TAIL.items()}
+
+
+def _decoded(line: bytes) -> str:
+    """A header as text: UTF-8, or Latin-1 where it is not."""
+    try:
+        return line.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+class Stream:
+    """Bytes that arrive in chunks, read along lines and lengths; what has been read is let go."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.at, self.gone = iter(chunks), bytearray(), 0, 0
+
+    def _more(self) -> bool:
+        chunk = next(self.chunks, None)
+        if chunk is None:
+            return False
+        if self.at:
+            del self.held[: self.at]
+            self.gone += self.at
+            self.at = 0
+        self.held += chunk
+        return True
+
+    @property
+    def place(self) -> int:
+        return self.gone + self.at
+
+    def ended(self) -> bool:
+        while self.at >= len(self.held):
+            if not self._more():
+                return True
+        return False
+
+    def peek(self) -> bytes:
+        return b"" if self.ended() else bytes(self.held[self.at : self.at + 1])
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which is passed; None if there is none."""
+        start = self.at
+        while True:
+            i = self.held.find(mark, start)
+            if i >= 0:
+                out = bytes(self.held[self.at : i])
+                self.at = i + len(mark)
+                return out
+            start = max(self.at, len(self.held) - len(mark) + 1)
+            before = start - self.at
+            if not self._more():
+                return None
+            start = self.at + before
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or as many as there are."""
+        while len(self.held) - self.at < n and self._more():
+            pass
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+
+def arc_records(data: bytes | Stream) -> Iterator[Record]:
     """The records of an archive after its version block, by the declared lengths."""
-    at, version = 0, 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+    src = data if isinstance(data, Stream) else Stream([data])
+    version = 0
+    while not src.ended():
+        if src.peek() in b"\r\n":
+            src.take(1)
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
+        at = src.place
+        raw = src.until(b"\n")
+        if raw is None:
             raise ArchiveError(f"no end of the header line at byte {at}")
-        line = data[at:end].decode("utf-8", "surrogatepass").rstrip("\r")
+        line = _decoded(raw).rstrip("\r")
         if not version:
             if not line.startswith("filedesc://"):
                 raise ArchiveError("the archive does not start with a version block")
-            size = int(line.rsplit(" ", 1)[1])
-            mark = data[end + 1 : end + 3].strip()
+            last = line.rsplit(" ", 1)[-1]
+            about = src.take(int(last)) if last.isdigit() else b""
+            mark = about[:2].strip()
             if mark not in (b"1", b"2"):
                 raise ArchiveError(f"unknown archive version {mark!r}")
             version = int(mark)
-        else:
-            fields = line.rsplit(" ", len(ARC_FIELDS[version].split()) - 1)
-            if len(fields) != len(ARC_FIELDS[version].split()) or not fields[-1].isdigit():
-                raise ArchiveError(f"bad header line at byte {at}: {line[:80]!r}")
-            size = int(fields[-1])
-            if end + 1 + size > len(data):
-                raise ArchiveError(f"the record at byte {at} declares {size} bytes, {len(data) - end - 1} are left")
-            yield Record(fields[0], fields[1], fields[2], fields[3], fields[4] if version == 2 else "", data[end + 1 : end + 1 + size])
-        at = end + 1 + size
+            continue
+        m = next(filter(None, (p.fullmatch(line) for p in _ARC_LINE[version])), None)
+        if not m:
+            raise ArchiveError(f"bad header line at byte {at}: {line[:80]!r}")
+        size = int(m[m.lastindex])
+        block = src.take(size)
+        if len(block) < size:
+            raise ArchiveError(f"the record at byte {at} declares {size} bytes, {len(block)} are left")
+        yield Record(m[1], m[2], m[3], m[4], m[5] if version == 2 else "", block)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -175,21 +251,21 @@ def warc_bytes(record: Record, key: int | None, refers_to: int | None = None) ->
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(data: bytes | Stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record, by the declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    src = data if isinstance(data, Stream) else Stream([data])
+    while not src.ended():
+        at = src.place
+        raw = src.until(b"\r\n\r\n")
+        if raw is None or not raw.startswith(b"WARC/"):
             raise ArchiveError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
+        lines = _decoded(raw).split("\r\n")[1:]
         head = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines)}
         size = int(head["content-length"])
-        start = end + 4
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
+        block = src.take(size)
+        if len(block) < size or src.take(4) != b"\r\n\r\n":
             raise ArchiveError(f"the record at byte {at} does not end after its {size} bytes")
-        yield head, data[start : start + size]
-        at = start + size + 4
+        yield head, block
 
 
 def _archived(batches, version: int, most: int):
@@ -244,13 +320,30 @@ def read_arcs(spark: SparkSession, path: str) -> DataFrame:
     return mapped(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"), batch, "arc binary")
 
 
-def _inflated(data: bytes) -> bytes:
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def _chunks(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file in pieces, inflated if it is gzip; members follow each other."""
+    view = memoryview(data)
+    if view[:2] != b"\x1f\x8b":
+        for i in range(0, len(view), most):
+            yield bytes(view[i : i + most])
+        return
+    at = 0
+    while view[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out) if out else data
+        while not z.eof:
+            piece = z.unconsumed_tail or bytes(view[at : at + most])
+            if not z.unconsumed_tail:
+                at += len(piece)
+            out = z.decompress(piece, most)
+            if not out and not piece:
+                raise ArchiveError("a gzip member ends too early")
+            if out:
+                yield out
+        at -= len(z.unused_data)
+
+
+def _inflated(data: bytes) -> bytes:
+    return b"".join(_chunks(data))
 
 
 RECORD = "id long, url string, ip string, date string, mime string, status string, digest string, block binary"
@@ -299,11 +392,16 @@ def write_warcs(records: DataFrame, path: str) -> None:
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
     """id, record_type, payload_digest, payload_bytes, refers_to, url, date of each record; digests of kept payloads are checked."""
 
+    def shaped(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["id", "record_type", "payload_digest", "payload_bytes", "refers_to", "url", "date"])
+        # Through objects: a list of integers with gaps would become floats, and large ids would lose digits.
+        return out.assign(**{c: pd.array([r[i] for r in rows], dtype="Int64") for c, i in (("id", 0), ("refers_to", 4))})
+
     def run(batches):
         for pdf in batches:
             for content in pdf["content"]:
                 rows = []
-                for head, block in warc_records(_inflated(content)):
+                for head, block in warc_records(Stream(_chunks(content))):
                     kind = head["warc-type"]
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     http = Record("", "", "", "", "", block).http() if kind == "response" else None
@@ -312,8 +410,10 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
                         raise ArchiveError(f"payload of {head['warc-record-id']} does not match its digest")
                     refers = uuid_key(head["warc-refers-to"]) if "warc-refers-to" in head else None
                     rows.append((uuid_key(head["warc-record-id"]), kind, digest, int(head["x-payload-length"]), refers, head["warc-target-uri"], head["warc-date"]))
-                out = pd.DataFrame(rows, columns=["id", "record_type", "payload_digest", "payload_bytes", "refers_to", "url", "date"])
-                yield out.assign(id=out["id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+                    if len(rows) == 10_000:
+                        yield shaped(rows)
+                        rows = []
+                yield shaped(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, "id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, date string")

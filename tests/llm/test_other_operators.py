@@ -287,6 +287,41 @@ def test_arc_parsing(spark, tmp_path, version):
             list(archives.arc_records(bad))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_lines_in_the_wild(version):
+    """URLs in Latin-1 and with spaces, types with parameters, and streams that arrive byte by byte."""
+    about = f"{version} 0 export\n{archives.ARC_FIELDS[version]}\n".encode()
+    tail = b"" if version == 1 else b"200 - - 0 old.arc "
+    lines = [b"http://x/caf\xe9 1.2.3.4 19970102030405 text/html; charset=iso-8859-1 ", b"http://y/a 5.6.7.8 20000101000000 b 1.2.3.4 19970102030405 text/plain; format=flowed; x=1 ", "http://z/é 2001:db8::1 19970102030405 text/html ".encode()]
+    bodies = [b"HTTP/1.0 200 OK\r\n\r\nbody " + bytes(range(256)), b"x" * 70_000, b""]
+    data = b"filedesc://old.arc 0.0.0.0 19970101000000 text/plain " + tail + str(len(about)).encode() + b"\n" + about + b"\n"
+    for line, body in zip(lines, bodies, strict=True):
+        data += line + tail + str(len(body)).encode() + b"\n" + body + b"\n"
+    want = [("http://x/café", "1.2.3.4", "19970102030405", "text/html; charset=iso-8859-1"), ("http://y/a 5.6.7.8 20000101000000 b", "1.2.3.4", "19970102030405", "text/plain; format=flowed; x=1"), ("http://z/é", "2001:db8::1", "19970102030405", "text/html")]
+    packed = gzip.compress(data[:99]) + gzip.compress(data[99:40_000]) + gzip.compress(data[40_000:])
+    for source in (data, archives.Stream(bytes([b]) for b in data), archives.Stream(archives._chunks(packed, 1000)), archives.Stream(archives._chunks(data, 7))):
+        got = list(archives.arc_records(source))
+        assert [(r.url, r.ip, r.date, r.mime) for r in got] == want and [r.block for r in got] == bodies
+    warc = b"".join(archives.warc_bytes(r, i) for i, r in enumerate(got))
+    assert [b for _, b in archives.warc_records(archives.Stream(archives._chunks(gzip.compress(warc), 333)))] == bodies
+    with pytest.raises(archives.ArchiveError):
+        list(archives._chunks(packed[:-9]))
+
+
+def test_warc_long_and_repeated(spark, tmp_path):
+    """Very long html, rows of one id with equal and other payloads, and many rows without an id."""
+    pages = [(1, "u", "long " * 600_000), (2, "u", "same"), (2, "u", "same"), (2, "u", "other"), (3, "u", "same"), (3, "u", None), *[(None, "u", "same")] * 50, (2**62 + 1, "u", "x"), (2**62 + 3, "u", "x")]
+    records = archives.pages_to_records(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    archives.write_warcs(records, str(tmp_path / "w"))
+    got = archives.read_warcs(spark, str(tmp_path / "w")).collect()
+    assert sorted((str(r["id"]), r["payload_bytes"]) for r in got) == sorted((str(i), len((h or "").encode())) for i, _, h in pages)
+    by = defaultdict(set)
+    for r in got:
+        by[r["id"], r["payload_bytes"]].add((r["record_type"], r["refers_to"]))
+    assert by[1, 3_000_000] == {("response", None)} and by[2, 4] == {("revisit", 3)} and by[None, 4] == {("revisit", 3)} and by[2, 5] == {("response", None)}
+    assert by[3, 4] == {("response", None)} == by[3, 0] and by[2**62 + 1, 1] == {("revisit", 2**62 + 3)}
+
+
 def test_record_names():
     for k in (0, 1, -1, 2**63 - 1, -(2**63), 123456789):
         assert archives.uuid_key(archives.record_uuid(k)) == k

@@ -5,6 +5,7 @@ start with). Groups are taken in descending order; every member finds its
 previous smaller suffix by following pointers over what is already done, and
 that parent's known prefix grows by the group's word, so the parent moves to a
 new group right after its old one, further on the more members it took.
+Numbers are held in arrays of four bytes each, about 40 bytes a character in all.
 Phase 2 walks the order as it forms: suffix s settles every p whose next
 smaller suffix is s, each in the next free place of its own group. Nothing is
 renamed and nothing recurs.
@@ -12,20 +13,26 @@ renamed and nothing recurs.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 
-def suffix_array(text: Sequence[int]) -> list[int]:
+def suffix_array(text: Sequence[int]) -> array:
     """The start positions of the suffixes of text (small non-negative integers) in ascending order."""
     n = len(text)
-    buckets: dict[int, list[int]] = {}
+    if n >= 1 << 31:
+        raise ValueError("the text must be shorter than 2^31")
+    buckets: dict[int, array] = {}
     for i, c in enumerate(text):
-        buckets.setdefault(c, []).append(i)
+        own = buckets.get(c)
+        if own is None:
+            own = buckets[c] = array("i")
+        own.append(i)
     order = sorted(buckets)
     # Groups form a linked list in ascending order; group 0 is its head.
-    members: list[list[int]] = [[]]
-    after, before = [0], [0]
-    group = [0] * n
+    members: list[array] = [array("i")]
+    after, before = array("i", [0]), array("i", [0])
+    group = array("i", bytes(4 * n))
     last = 0
     for c in order:
         g = len(members)
@@ -37,10 +44,10 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         before.append(last)
         last = g
     done = bytearray(n)
-    parent = [-1] * (n + 1)
+    parent = array("i", [-1]) * (n + 1)
     g = last
     while g:
-        own = sorted(i for i in members[g] if group[i] == g)
+        own = array("i", sorted(i for i in members[g] if group[i] == g))
         members[g] = own
         took: dict[int, int] = {}
         for i in own:
@@ -55,9 +62,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             if p >= 0:
                 took[p] = took.get(p, 0) + 1
         if took:
-            split: dict[tuple[int, int], list[int]] = {}
+            split: dict[tuple[int, int], array] = {}
             for p, k in took.items():
-                split.setdefault((group[p], -k), []).append(p)
+                key = (group[p], -k)
+                if key in split:
+                    split[key].append(p)
+                else:
+                    split[key] = array("i", [p])
             for old, k in sorted(split):
                 new = len(members)
                 moved = split[old, k]
@@ -71,13 +82,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                 if nxt:
                     before[nxt] = new
         g = before[g]
-    free = [0] * len(members)
+    free = array("i", bytes(4 * len(members)))
     at, g = 0, after[0]
     while g:
         free[g] = at
         at += len(members[g])
         g = after[g]
-    out = [0] * n
+    out = array("i", bytes(4 * n))
     s, r = n, 0
     while True:
         p, stop = s - 1, parent[s]
@@ -94,28 +105,27 @@ def suffix_array(text: Sequence[int]) -> list[int]:
 
 def repeated_windows(strings: list[bytes], width: int) -> list[list[int]]:
     """For each string, the starts of its windows of `width` bytes that start anywhere else in the strings."""
-    text: list[int] = []
+    text = array("H")
     starts: list[int] = []
     for s in strings:
         starts.append(len(text))
         text.extend(b + 1 for b in s)
         text.append(0)
     raw = b"\0".join(strings) + b"\0"
-    end = [0] * len(text)
+    end = bytearray(len(text))
     for i, s in zip(starts, strings, strict=True):
         for j in range(i, i + len(s) - width + 1):
             end[j] = 1
     found: list[list[int]] = [[] for _ in strings]
-    hit = set()
+    hit = bytearray(len(text))
     before = -1
     for p in suffix_array(text):
         if end[p]:
             if before >= 0 and raw[before : before + width] == raw[p : p + width]:
-                hit.add(before)
-                hit.add(p)
+                hit[before] = hit[p] = 1
             before = p
     owner = 0
-    for p in sorted(hit):
+    for p in (i for i, x in enumerate(hit) if x):
         while owner + 1 < len(starts) and starts[owner + 1] <= p:
             owner += 1
         found[owner].append(p - starts[owner])

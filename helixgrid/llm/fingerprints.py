@@ -15,8 +15,10 @@ for a whole batch at once, in the bits of one word per pair.
 
 Defined cases: null text is empty; the empty text's fingerprint is `3::`;
 equal texts have equal fingerprints and likeness 1; the next document of a
-single one is itself; ties of the order key follow the text's hash; null ids
-come first; an empty table gives an empty result.
+single one is itself; ties of the order key follow the text's hash, and equal
+rows any order; null ids come first; very long texts are hashed whole, in
+arrays of a few bytes for each of theirs; further columns, whatever their names, are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import U64, mix64
+from .common import U64, mapped, mix64, staged
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CODES = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -157,54 +160,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _judged(keys: list, texts: list[str], marks: list[str], following: list[str], theirs: list[str]) -> dict[str, list]:
+    """The result's columns for documents, their fingerprints, and their followers with theirs."""
+    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+    again = [fingerprint(c) for c in changed]
+    return {
+        "key": keys, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed],
+        "fingerprint": marks, "edited_fingerprint": again, "near_edited": likeness(marks, again).tolist(), "near_next": likeness(marks, theirs).tolist(),
+    }
+
+
+RESULT = "key string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The documents are dealt once, by ranges of the key whose bounds come from quantiles; each range's first
-    document also goes to the range before it (the very first to the last), so neighbours meet without a
-    global window. Only the ranges' bounds and first keys, one each, reach the driver.
+    Spark deals the documents by ranges of (key, hash of the text) and sorts each range, so a document meets its
+    follower in one pass. Of each range the first and the last document, whose neighbours are elsewhere, are put
+    aside with their texts and meet in a join of two rows a range; no bound or text reaches the driver.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [x for x in docs.select(F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] or []]
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    place = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("key"))), F.lit(0)) if cuts else F.lit(0)
-    place = F.when(F.col("key").isNull(), 0).otherwise(place).cast("int")
-    placed = rows.withColumn("part", place)
-    heads = placed.groupBy("part").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key", "tie")).alias("h")).orderBy("part").collect()
-    first = {r["part"]: (r["h"]["key"], r["h"]["tie"]) for r in heads}
-    order = sorted(first)
-    if not order:
-        before = F.array().cast("array<int>")
-    else:
-        before = F.array().cast("array<int>")
-        for i, p in enumerate(order):
-            k, tie = first[p]
-            before = F.when((F.col("part") == p) & F.col("key").eqNullSafe(F.lit(k).cast(kind)) & (F.col("tie") == F.lit(tie)), F.array(F.lit(order[i - 1]))).otherwise(before)
-    dealt = placed.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("guest"))), F.transform(before, lambda p: F.struct(p.alias("p"), F.lit(1).alias("guest"))))))
-    dealt = dealt.select(F.col("to.p").alias("range"), F.col("to.guest").alias("guest"), "key", "tie", "text")
-    ranges = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "guest", F.col("key").asc_nulls_first(), "tie")
+    # Equal rows have any order among themselves; their place in the scan lets ranges split them.
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("seat"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = (F.col("key").asc_nulls_first(), "tie", "seat")
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    columns = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches):
-        held: tuple | None = None  # (range, key, text, fingerprint): waits for its follower
+        held: tuple | None = None  # (key, text, fingerprint): waits for its follower
+        part = 0
         for pdf in batches:
             done: list[tuple] = []
-            for range_, guest, k, t in zip(pdf["range"], pdf["guest"], pdf["key"], pdf["text"], strict=True):
+            for k, t in zip(pdf["key"], pdf["text"], strict=True):
                 own = fingerprint(t)
-                if held is not None and held[0] == range_:
-                    done.append((held[1], held[2], held[3], t, own))
-                held = None if guest else (range_, k, t, own)
-            changed = [edited(x[1], x[3]) for x in done]
-            marks = [fingerprint(c) for c in changed]
-            yield pd.DataFrame({
-                "key": pd.Series([x[0] for x in done], dtype=pdf["key"].dtype), "n_chars": [len(x[1]) for x in done],
-                "edited_sha256": [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed],
-                "fingerprint": [x[2] for x in done], "edited_fingerprint": marks,
-                "near_edited": likeness([x[2] for x in done], marks), "near_next": likeness([x[2] for x in done], [x[4] for x in done]),
-            })
-
-    schema = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ranges.mapInPandas(run, schema).withColumnRenamed("key", key)
+                if held is None:
+                    part = int(pdf["part"].iloc[0])
+                    yield aside("first", part, k, t, own)
+                else:
+                    done.append((*held, t, own))
+                held = (k, t, own)
+            if done:
+                k, t, m, f, n = zip(*done, strict=True)
+                yield pd.DataFrame({**_judged(list(k), list(t), list(m), list(f), list(n)), "end": None, "part": part, "text": None})
+        if held is not None:
+            yield aside("last", part, *held)
+
+    def aside(end: str, part: int, k, t: str, mark: str) -> pd.DataFrame:
+        return pd.DataFrame([{**dict.fromkeys(columns), "key": k, "fingerprint": mark, "end": end, "part": part, "text": t}])
+
+    keyed = ranges.select(F.col("key").cast("string").alias("key"), F.spark_partition_id().alias("part"), "text")
+    found = staged(keyed.mapInPandas(run, f"{RESULT}, end string, part int, text string"), "fingerprints")
+    first = found.where("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"), F.col("fingerprint").alias("theirs"))
+    # One number for each range that has rows; the range after the last is the first one.
+    numbers = found.where("end = 'first'").select("part")
+    after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
+    seams = found.where("end = 'last'").join(after, "part").join(first, "next").select("key", "text", "fingerprint", "following", "theirs")
+    met = mapped(seams, lambda pdf: pd.DataFrame(_judged(*(pdf[c].tolist() for c in ("key", "text", "fingerprint", "following", "theirs")))), RESULT)
+    out = found.where("end is null").select(*columns).union(met)
+    return out.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)

@@ -229,6 +229,16 @@ def test_fingerprints_odd_and_empty(spark, odd, none, parts):
     assert one["near_next"] == 1
 
 
+def test_fingerprints_of_one_id(spark):
+    """Large ids beside none, and equal rows that fill several ranges."""
+    rows = [(2**62 + 1, "a text of its own"), (2**62 + 3, "another text")] + [(None, "no id")] * 40 + [(5, "equal " * 30)] * 200
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), parts=8).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    last = next(r for r in got if r["doc_id"] == 2**62 + 3)
+    assert last["edited_sha256"] == hashlib.sha256(b"anotheno id").hexdigest()
+    assert sum(r["near_next"] == 1 for r in got if r["doc_id"] == 5) == 199
+
+
 # --- archives
 
 

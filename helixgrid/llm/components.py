@@ -4,7 +4,8 @@ Each round joins every vertex to the smallest neighbour it knows (first for
 its larger neighbours, then for its smaller ones); the links become stars
 around the smallest vertex of each component. The tables stay distributed,
 every round is cut by a staged table, and the only thing the driver sees is a
-checksum of the links, to know when they stop changing.
+checksum of the links, to know when they stop changing. A round's table is deleted
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +33,8 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     for _ in range(rounds):
-        edges = staged(_star(_star(edges, True), False), "stars")
+        past, edges = edges, staged(_star(_star(edges, True), False), "stars")
+        dropped(past)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -4,8 +4,10 @@ Documents are counted by exact size within each source. A source whose target
 is q whole times its size and a rest R takes every document q times; the rest
 is a subset whose sizes should sum to R. Its bulk is the same share of every
 size; what is left of the budget is fitted by a bounded knapsack over the
-sizes that still have documents. Within a size, documents are chosen in the
-order of a seeded hash of their id, so reruns agree.
+sizes that still have documents, so the error is at most half the size of the
+smallest document left out (a nearer sum would take it). Within a size, documents are chosen in the
+order of a seeded hash of their id and text, so reruns agree, and rows that share an
+id, or have none, are dealt by their texts.
 
 The knapsack runs on counts per (source, size), never on documents, in one
 task per source. Choosing the documents of a size is dealt into buckets by
@@ -14,7 +16,8 @@ only the bucket where the count ends is ordered.
 
 Defined cases: null text has size zero and takes nothing; a null source is a
 source of its own, last in order; repeated rows and null ids are chosen like
-others (ties in id are resolved by place in the order, their sizes are equal);
+others (equal rows are interchangeable); very long texts are counted whole by
+one expression; further columns, whatever their names, are not read;
 an empty table gives an empty result; sources without a word have target 0.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 from .common import WORD, staged
 
 WEIGHTS = (3, 1, 2)
-#: Words of remaining budget that the knapsack fits exactly; the greedy part before it leaves less than a document.
+#: Words of remaining budget that the knapsack fits; up to as many in all it works alone.
 EXACT = 1 << 16
 #: Rows of one size and source that are ordered together.
 BUCKET = 512
@@ -109,8 +112,8 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 
 def measured(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source, size (words)."""
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """key, source, tie (a hash of the text), size (words)."""
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("tie"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -137,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     by_source = counts.join(F.broadcast(plan_of), counts["source"].eqNullSafe(plan_of["source"])).select(counts["source"], "size", "n", "source_size", "target")
     plan = staged(by_source.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole long, more long"), "plan")
     p = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n", "source_size", "target", "whole", "more")
-    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("key")))
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("key"), F.col("tie")))
     rated = drawn.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
     rated = rated.withColumn("bucket", F.when((F.col("more") > 0) & (F.col("more") < F.col("n")), F.pmod(F.col("draw"), F.ceil(F.col("n") / F.lit(BUCKET)))))
     sure = rated.where("bucket is null").withColumn("extra", (F.col("more") > 0).cast("long"))

@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
 all but the last return the columns of documents.
+
+Defined cases, for every stage: null text counts as empty and fails the quality
+rules' base; very long texts are worked on whole; rows that share an id, or have
+none, are told apart by their texts, and equal rows count as copies of one
+document; null lang, source and n_chars go along as they are (a null source is a
+source of its own in the mix); columns beyond those of documents are dropped, so
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +61,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: whole times each, and a seeded choice of one more."""
     keyed = _keyed(docs)
     times = mixing.mix(keyed, key="_key").where("times > 0").select(F.col("_key").alias("_took"), "times").dropDuplicates(["_took"])
     taken = keyed.join(times, F.col("_key") == F.col("_took"))
@@ -62,7 +69,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences; a document taken several times is packed as often."""
     return packing.pack(docs, vocabulary())
 
 

@@ -71,6 +71,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def near_dup_five_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator as the pipeline uses it, on shingles of five words."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 takes fingerprints of."""
     return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -90,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_fingerprints, op3_warc_converter, op4_best_fit_packing, op5_source_mix, op6_near_dup,
-        op7_license_scan, op8_suffix_dedup, op9_language_id, op10_quality_rules, edited_texts, mix_targets, text_statistics,
+        op7_license_scan, op8_suffix_dedup, op9_language_id, op10_quality_rules, near_dup_five_words, edited_texts, mix_targets, text_statistics,
     )
 }
 
@@ -98,6 +103,18 @@ QUERIES = {
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _near_dup_sql(size: int) -> str:
+    """Every pair that shares a shingle, confirmed on whole sets, and the smallest id reachable."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {size - 2}), lambda i: array_to_string(ws[i : i + {size - 1}], ' '))) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.doc_id = s.doc_id"""
+
+
 #: Where SQL can express a query or the columns of it that no method decides. Learned verdicts, signatures, token ids
 #: and matches of every 400-byte string of a corpus are held against brute force in tests/llm instead.
 ORACLE_SQL: dict[str, str] = {
@@ -113,13 +130,8 @@ o AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAS
 k AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 AS total, coalesce(sum(most) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before, sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o WHERE source_size > 0),
 f AS (SELECT min_by((total - before) / open, most / w) FILTER ((total - before) / open <= most / w) AS level FROM k)
 SELECT doc_id, size, source_size, round(coalesce(CASE WHEN source_size = 0 THEN 0 WHEN most <= w * level THEN most ELSE w * level END, most)::DOUBLE, 3) AS target FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source, f""",
-    "op6_near_dup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
-u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
-r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
-m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
-SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.doc_id = s.doc_id""",
+    "op6_near_dup": _near_dup_sql(2),
+    "near_dup_five_words": _near_dup_sql(5),
     "text_statistics": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS ws FROM d),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, {_WORDS}) GROUP BY 1),
 g AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),

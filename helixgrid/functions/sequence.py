@@ -83,6 +83,12 @@ def packed_wide(word: Column) -> Column:
     return F.when(ok, F.struct(hi.alias("hi"), lo.alias("lo")))
 
 
+def packed_auto(word: Column) -> Column:
+    """The code of a word of up to 64 bases in the narrower form that holds it: bits (64 or 128), hi, lo; null for invalid words."""
+    wide = packed_wide(word)
+    return F.when(wide.isNotNull(), F.struct(F.when(F.length(word) <= 32, 64).otherwise(128).alias("bits"), wide["hi"].alias("hi"), wide["lo"].alias("lo")))
+
+
 def unpacked(code: Column, k: int) -> Column:
     """The word of k bases with that code; the empty string where k is out of range."""
     if not 1 <= k <= 31:

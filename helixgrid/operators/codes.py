@@ -19,8 +19,9 @@ from ..functions.sequence import check_k, unpacked
 
 #: The longest word whose code is a non-negative BIGINT.
 CODED_K = 31
-#: Bases of a row that go to Python at once, windows that are coded at once (in a core's cache), and windows that are combined at once.
-PIECE, BLOCK, COMBINED = 1 << 20, 1 << 16, 1 << 21
+#: Bases of a row that travel together (a batch of 10,000 such rows is 160 MB), windows that are coded at once (in a
+#: core's cache), and windows that are combined at once.
+PIECE, BLOCK, COMBINED = 1 << 14, 1 << 16, 1 << 21
 
 _PLACE = np.full(256, 4, np.uint8)
 for _i, _bases in enumerate(("Aa", "Cc", "Gg", "Tt")):
@@ -90,7 +91,7 @@ def coded_counts(sequences: DataFrame, k: int, canonical: bool = False, seq: str
             column = batch.column(0)
             if not len(column):
                 continue
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
             # Each row ends with a byte that is no base, so rows of a batch are one array.
             data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
             for at in range(0, len(data), BLOCK):

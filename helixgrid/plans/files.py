@@ -55,6 +55,15 @@ def encode_wide(spark, sf_dir):
     return rows.select("kmer", "c.hi", "c.lo", seqf.unpacked_wide(F.col("c"), 40).alias("decoded"), F.regexp_replace(seqf.hexadecimal(F.col("kmer")), "^0+(?=.)", "").alias("hex"))
 
 
+@query(f"""WITH w AS (SELECT DISTINCT k, substr(w, 1, k) AS w FROM (SELECT w, unnest([1, 31, 32, 33, 40]) AS k FROM (WITH {_windows('b', 'benchmark', 'item_id', 40)} SELECT w FROM b)))
+SELECT k, w AS kmer, CASE WHEN k <= 32 THEN 64 ELSE 128 END AS bits, (list_reduce(list_transform(range(1, k + 1), lambda i: (strpos('ACGT', substr(w, i::BIGINT, 1)) - 1)::HUGEINT), lambda a, b: a * 4 + b) // 18446744073709551616)::BIGINT AS hi FROM w""")
+def encode_auto(spark, sf_dir):
+    """Prefixes of words in the narrower code that holds them."""
+    words = windows.explode_windows(benchmark(spark, sf_dir), 40)
+    rows = words.select("kmer", F.explode(F.array(*[F.lit(k) for k in (1, 31, 32, 33, 40)])).alias("k")).select("k", F.substring(F.col("kmer"), F.lit(1), F.col("k")).alias("kmer")).distinct()
+    return rows.withColumn("c", seqf.packed_auto(F.col("kmer"))).select("k", "kmer", "c.bits", F.col("c.hi").cast("decimal(20,0)").cast("long").alias("hi"))
+
+
 @query(f"""WITH s AS (SELECT doc_id AS record_id, {_bases()} AS seq FROM documents)
 SELECT record_id, regexp_full_match(seq, '[ACGTacgt]*') AS valid, NOT regexp_full_match(seq, '[ACGTacgt]*') AS ambiguous,
 reverse(translate(regexp_replace(upper(seq), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) AS reverse_complement FROM s""")

@@ -16,7 +16,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -348,6 +348,15 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def watched(sequences: DataFrame, name: str = "scan", seq: str = "seq") -> tuple[DataFrame, Observation]:
+    """The rows, and what the action that reads them has seen of them: records and bases, in its `get` when it is done.
+
+    The numbers come along with the scan, without a pass of their own; while it runs, Spark's own progress reports hold them by name.
+    """
+    seen = Observation(name)
+    return sequences.observe(seen, F.count("*").alias("records"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).alias("bases")), seen
+
+
 def totals(sequences: DataFrame) -> DataFrame:
     """records and total_length."""
     return sequences.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("total_length"))

@@ -42,6 +42,8 @@ def test_readers(spark, files):
     assert abs(reads.agg(sequences.average_quality(reads).alias("a")).first()["a"] - sum(codes) / len(codes)) < 1e-9
     assert tuple(sequences.totals(reads).first()) == (5, 20)
     assert sequences.read_sequences(spark, [str(files)]).count() == 3 + 3 + 5
+    rows, seen = sequences.watched(sequences.read_fastq(spark, str(files)))
+    assert len(rows.collect()) == 5 and seen.get == {"records": 5, "bases": 20}
 
 
 def test_spark_readers(spark, files, tmp_path):

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mapped, mix64, row_key, split_words, staged
+from .common import U64, WordHashes, dropped, mapped, mix64, row_key, split_words, staged
 from .components import connected_components
 
 SLOTS, WIDTH = 100, 5
@@ -45,6 +45,8 @@ KEY_BITS = 8 * (WIDTH - 1)
 SPREAD = 256
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2000
+#: Bits, as a power of two, of the table that keeps texts nobody asks for out of a shuffle: at most 2**(SIEVE - 6) rows of 64 bits are broadcast.
+SIEVE = 26
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 2**63, SLOTS, dtype=np.uint64) << U64(1)) | U64(1)
@@ -137,8 +139,16 @@ def _index(reps: DataFrame) -> DataFrame:
     return mapped(reps.select("id", "sig"), batch, "bucket long, id long")
 
 
+def _sieved(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """texts without most rows whose id is not in asked; none that is asked for goes. A bit for each hash of an asked id is sent to every task."""
+    at = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << SIEVE))
+    bits = asked.select(at.alias("at")).groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    placed = texts.withColumn("at", at).withColumn("word", F.expr("at DIV 64")).join(F.broadcast(bits), "word")
+    return placed.where("shiftright(bits, CAST(at % 64 AS INT)) & 1 = 1").select(*texts.columns)
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. texts: id (a row key, so equal ids have equal texts), text."""
+    """The pairs (a, b) whose full shingle sets reach the similarity. pairs: staged. texts: id (a row key, so equal ids have equal texts), text."""
 
     def confirm(batches):
         known = WordHashes()
@@ -154,7 +164,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # An inner join with distinct ids: a semi-join would be moved before the sieve, and with it the shuffle of all texts.
+    texts = _sieved(texts, asked).join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
@@ -252,19 +263,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     busy = met.groupBy("id").agg(F.sum(F.col("seats") - 1).alias("busy"))
     pivots = met.join(busy, "id").groupBy("bucket").agg(F.max(F.struct("busy", F.bitwise_not("id").alias("id"))).alias("p")).select("bucket", F.bitwise_not("p.id").alias("pivot"))
     shared = staged(met.join(pivots, "bucket"), "pivots")
+    dropped(met)
     tries = shared.where("pivot <> id").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sized = tries.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("spread").alias("pb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("spread").alias("pa")), "a")
-    tries = sized.where(_sizes_allow(percent)).where(_near(percent)).select("a", "b")
+    tries = staged(sized.where(_sizes_allow(percent)).where(_near(percent)).select("a", "b"), "tries")
     texts = rows.select("id", "text")
     first = staged(_similar(tries, texts, shingle, percent), "links")
+    dropped(tries)
     joined = connected_components(first)
     # What is left: members of one bucket in different components.
     labelled = shared.join(joined, "id", "left").select("bucket", "id", "seats", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     left = labelled.join(mixed, "bucket").join(reps, "id")
     left = left.withColumn("seat", F.pmod(F.xxhash64("id"), F.lit(BLOCK) * F.ceil(F.col("seats") / F.lit(BLOCK))))
-    second = staged(_similar(staged(_across(left, percent), "across"), texts, shingle, percent), "links")
+    across = staged(_across(left, percent), "across")
+    second = staged(_similar(across, texts, shingle, percent), "links")
+    dropped(shared, across)
     final = connected_components(first.union(second))
+    dropped(first, second)
     named = classes.select(*sets, "id", "head").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = named.groupBy("component").agg(F.min("head").alias("head"))
     named = named.drop("head").join(heads, "component").select(*sets, "head")

@@ -175,6 +175,37 @@ def test_near_dup_shared_ids(spark):
     assert stay == sorted((k for k, (_, kept) in want.items() if kept), key=str)
 
 
+def test_near_dup_moves_only_asked_texts(spark):
+    """Texts without a candidate stay out of every shuffle, also when the ids asked for are too many to broadcast."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(1500))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 300, 100)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    try:
+        start = written()
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+        moved = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert moved < sum(len(t) for _, t in rows) / 2
+
+
+def test_near_dup_sieve_keeps_what_is_asked(spark, monkeypatch):
+    """Whatever the size of its table: all asked rows stay, and with few asked for nearly all others go."""
+    texts = spark.range(5000).select(F.xxhash64("id").alias("id"), F.concat(F.lit("t"), "id").alias("text"))
+    asked = spark.range(0, 5000, 50).select(F.xxhash64("id").alias("id"))
+    ids = {r["id"] for r in asked.collect()}
+    for bits, most in ((6, 5000), (12, 400), (26, 110)):
+        monkeypatch.setattr(near_dup, "SIEVE", bits)
+        rows = near_dup._sieved(texts, asked).collect()
+        left = {r["id"] for r in rows}
+        assert ids <= left and len(left) == len(rows) <= most
+    assert near_dup._sieved(texts, asked.limit(0)).count() == 0
+
+
 def test_keys_meet_within_the_bound():
     rng = np.random.default_rng(2)
     for _ in range(300):

@@ -105,13 +105,16 @@ def coded_counts(sequences: DataFrame, k: int, canonical: bool = False, seq: str
         if held:
             yield flush()
 
+    return pieces_of(sequences, k, seq).mapInArrow(run, "code long, n long")
+
+
+def pieces_of(sequences: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """Rows of any length in overlapping pieces of bounded size, each closed by a byte that is no base; short rows have none."""
     raw = sequences.select(F.col(seq).cast("binary").alias("_b"))
-    # Rows of any length travel in overlapping pieces of bounded size; short ones have none. (A filter on the
-    # length would be pushed down and make the sequence twice.)
+    # A filter on the length would be pushed down and make the sequence twice.
     last = F.length("_b") - (k - 1)
     at = F.explode(F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(PIECE))))
-    pieces = raw.withColumn("_at", at).select(F.concat(F.substring(F.col("_b"), F.col("_at"), F.lit(PIECE + k - 1)), F.lit(b"\n")).alias("_p"))
-    return pieces.mapInArrow(run, "code long, n long")
+    return raw.withColumn("_at", at).select(F.concat(F.substring(F.col("_b"), F.col("_at"), F.lit(PIECE + k - 1)), F.lit(b"\n")).alias("_p"))
 
 
 def counted_codes(sequences: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:

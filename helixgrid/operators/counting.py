@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codes import CODED_K, counted_codes
+from .packed import packed_counts
 from .windows import explode_windows, window_summary
 
 #: The largest count that the binary table format holds.
@@ -17,13 +18,14 @@ class CountOverflow(ValueError):
 
 
 def count_words(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:
-    """kmer, count over all sequences; partial counts are combined before the shuffle.
+    """kmer, count over all sequences.
 
-    Words of up to 31 bases are counted as codes, longer ones as strings.
+    Short words are counted as codes, partial counts combined before the shuffle; longer ones travel as stretches
+    of bases (see packed).
     """
     if k <= CODED_K:
         return counted_codes(df, k, canonical, seq)
-    return exploded_counts(df, k, canonical, seq)
+    return packed_counts(df, k, canonical, seq)
 
 
 def exploded_counts(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:

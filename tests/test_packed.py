@@ -36,7 +36,7 @@ def windows(spark):
     return catalog.sequences(spark, "/root/testdata/sf0.01").selectExpr("sum(length(seq))").first()[0]
 
 
-@pytest.mark.parametrize("k", [33])
+@pytest.mark.parametrize("k", [33, 64])
 def test_counts_equal_windows(spark, k):
     df = spark.createDataFrame([(s,) for s in SEQS], "seq string")
     for canonical in (False, True):
@@ -45,7 +45,7 @@ def test_counts_equal_windows(spark, k):
         assert {r["kmer"]: r["count"] for r in rows} == want and len(rows) == len(want)
 
 
-@pytest.mark.parametrize("name", ["count_k33_canonical"])
+@pytest.mark.parametrize("name", ["count_k33_canonical", "count_k64"])
 def test_counts_shuffle_little(spark, windows, name):
     """A byte a base; a row for each word took 4 to 9."""
     assert moved(spark, lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) < windows

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codes import CODED_K, counted_codes
-from .packed import packed_counts
+from .codes import counted_codes
+from .packed import SHORT_K, packed_counts
 from .windows import explode_windows, window_summary
 
 #: The largest count that the binary table format holds.
@@ -23,7 +23,7 @@ def count_words(df: DataFrame, k: int, canonical: bool = False, seq: str = "seq"
     Short words are counted as codes, partial counts combined before the shuffle; longer ones travel as stretches
     of bases (see packed).
     """
-    if k <= CODED_K:
+    if k <= SHORT_K:
         return counted_codes(df, k, canonical, seq)
     return packed_counts(df, k, canonical, seq)
 

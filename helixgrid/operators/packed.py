@@ -15,7 +15,9 @@ so its memory grows by a few bytes a word. A word is a pair of codes of 64 bits:
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from .codes import _PLACE, BLOCK, COMBINED, pieces_of
 
 #: The longest word that is counted by its code alone (see codes): of longer ones most are distinct.
 SHORT_K = 12
-#: Words that a pass unpacks, rows of a batch that leaves Python, bytes of input (as Spark estimates them) to a task, and the most tasks planned.
-HELD, ROWS, SHARE, MOST = 1 << 22, 1 << 16, 4 << 20, 4096
+#: Words that a pass unpacks, words of a range that is stored, rows of a batch that leaves Python, bytes of input (as Spark estimates them) to a task, and the most tasks planned.
+HELD, RANGE, ROWS, SHARE, MOST = 1 << 21, 1 << 23, 1 << 16, 4 << 20, 4096
 #: Codes of a task that bounds of ranges are taken from, and one of how many windows is looked at for it.
 SAMPLE, EVERY = 512, 32
 
@@ -291,8 +293,17 @@ def _counted(rows: list[tuple[bytes, bytes]], k: int, canonical: bool) -> Iterat
         yield from done
 
 
-def packed_counts(sequences: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:
-    """kmer, count over all sequences, for words of over SHORT_K bases."""
+@dataclass(frozen=True)
+class Source:
+    """Rows and what makes words and counts of their batches (a word may come more than once), for the shuffles of sums."""
+
+    rows: DataFrame
+    words: Callable[[Iterator], Iterator[tuple[Words, np.ndarray]]]
+    tasks: int
+
+
+def counted_source(sequences: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> Source:
+    """Stretches of sequences, dealt; each word comes once."""
     check_k(k)
     m, parts = min(12, max(8, k // 2)), tasks_for(sequences)
 
@@ -315,11 +326,34 @@ def packed_counts(sequences: DataFrame, k: int, canonical: bool = False, seq: st
 
     def count(batches) -> Iterator:
         rows = [(n, b) for batch in batches for n, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        for words, counts in _counted(rows, k, canonical):
-            yield from _batches(words, counts, k)
+        return _counted(rows, k, canonical)
 
     dealt = pieces_of(sequences, k, seq).mapInArrow(cut, "part int, n binary, bases binary").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(count, "kmer string, count long")
+    return Source(dealt, count, parts)
+
+
+def packed_counts(sequences: DataFrame, k: int, canonical: bool = False, seq: str = "seq") -> DataFrame:
+    """kmer, count over all sequences, for words of over SHORT_K bases."""
+    source = counted_source(sequences, k, canonical, seq)
+
+    def run(batches, words=source.words) -> Iterator:
+        for found, counts in words(batches):
+            yield from _batches(found, counts, k)
+
+    return source.rows.mapInArrow(run, "kmer string, count long")
+
+
+def table_source(table: DataFrame, k: int) -> Source:
+    """The rows of a table (kmer, count); words of another length, or of other letters, are an error."""
+
+    def words(batches) -> Iterator:
+        for batch in batches:
+            if len(batch.column(0)):
+                if batch.column(1).null_count or (n := batch.column(1).to_numpy()).min() < 0:
+                    raise ValueError("a table has counts that are null or negative")
+                yield _parsed(batch.column(0), k), n
+
+    return Source(table.select("kmer", F.col("count").cast("long").alias("count")), words, tasks_for(table))
 
 
 def _bytes_of(batches) -> Iterator[np.ndarray]:
@@ -363,12 +397,13 @@ def _row(words: Words, counts: np.ndarray) -> tuple:
 
 
 def _unrow(row: tuple) -> tuple[Words, np.ndarray]:
-    n, first, steps, rest, counts = row
+    n, first, steps, rest, counts = row[:5]
     hi = np.cumsum(_numbers(zlib.decompress(steps, -15), n), dtype=U64) + np.int64(first).astype(U64)
     return (hi, _numbers(zlib.decompress(rest, -15), n) if rest else None), _numbers(zlib.decompress(counts, -15), n).astype(np.int64)
 
 
-_ROW = "part int, n long, first long, steps binary, rest binary, counts binary"
+#: rows: how many rows of the table they were.
+_ROW = "part int, n long, first long, steps binary, rest binary, counts binary, rows long"
 
 
 def _hashing(k: int) -> tuple[U64, U64, U64]:
@@ -397,8 +432,16 @@ def _passes(rows: list[tuple]) -> Iterator[tuple[Words, np.ndarray]]:
             yield _in_order(_joined(words), np.concatenate(counts))
 
 
-def _shuffled(table: DataFrame, k: int, bounds: np.ndarray, hashed: bool) -> DataFrame:
-    """kmer, count of a table as packed rows, each range of codes (or of their hashes) in its task."""
+def _shuffled(sources: list[Source], k: int, bounds: np.ndarray | None = None) -> DataFrame:
+    """The words of all sources as packed rows, each range of codes in its task; without bounds, of their hashes."""
+    hashed = bounds is None
+    if hashed:
+        bounds = _even(k, sum(s.tasks for s in sources))
+    packs = [s.rows.mapInArrow(_packer(s.words, k, bounds, hashed), _ROW) for s in sources]
+    return reduce(DataFrame.union, packs).repartitionById(len(bounds) + 1, F.col("part"))
+
+
+def _packer(words: Callable, k: int, bounds: np.ndarray, hashed: bool) -> Callable[[Iterator], Iterator]:
     by, _, mask = _hashing(k)
 
     def pack(batches) -> Iterator:
@@ -409,21 +452,18 @@ def _shuffled(table: DataFrame, k: int, bounds: np.ndarray, hashed: bool) -> Dat
         total = 0
 
         def flush():
-            (hi, lo), n = _in_order(_joined(held), np.concatenate(counts))
+            every = _joined(held)
+            (hi, lo), n = _in_order(every, np.concatenate(counts))
+            own = np.bincount(np.searchsorted(bounds, every[0], "right"), minlength=len(bounds) + 1)
             ends = np.r_[0, np.searchsorted(hi, bounds), len(hi)]
-            rows = [(i, *_row((hi[a:b], None if lo is None else lo[a:b]), n[a:b])) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            rows = [(i, *_row((hi[a:b], None if lo is None else lo[a:b]), n[a:b]), int(own[i])) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
             held.clear()
             counts.clear()
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "n", "first", "steps", "rest", "counts"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "n", "first", "steps", "rest", "counts", "rows"])
 
-        for batch in batches:
-            if not len(batch.column(0)):
-                continue
-            hi, lo = _parsed(batch.column(0), k)
+        for (hi, lo), n in words(batches):
             held.append(((hi * by) & mask if hashed else hi, lo))
-            if batch.column(1).null_count or (n := batch.column(1).to_numpy()).min() < 0:
-                raise ValueError("a table has counts that are null or negative")
             counts.append(n)
             total += len(n)
             if total >= COMBINED:
@@ -432,11 +472,11 @@ def _shuffled(table: DataFrame, k: int, bounds: np.ndarray, hashed: bool) -> Dat
         if total:
             yield flush()
 
-    return table.select("kmer", F.col("count").cast("long").alias("count")).mapInArrow(pack, _ROW).repartitionById(len(bounds) + 1, F.col("part"))
+    return pack
 
 
 def _rows_of(batches) -> list[tuple]:
-    return [r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True)]
+    return [r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(1, 7)], strict=True)]
 
 
 def _even(k: int, parts: int) -> np.ndarray:
@@ -444,39 +484,41 @@ def _even(k: int, parts: int) -> np.ndarray:
     return np.unique(np.array([(i << (2 * min(k, 32))) // parts for i in range(1, parts)], U64))
 
 
-def packed_sums(table: DataFrame, k: int) -> DataFrame:
-    """kmer, count: the counts of a table summed by word."""
+def packed_sums(sources: list[Source], k: int) -> DataFrame:
+    """kmer, count: counts summed by word."""
     _, back, mask = _hashing(k)
 
     def add(batches) -> Iterator:
         for (hi, lo), n in _passes(_rows_of(batches)):
             yield from _batches(((hi * back) & mask, lo), n, k)
 
-    return _shuffled(table, k, _even(k, tasks_for(table)), True).mapInArrow(add, "kmer string, count long")
+    return _shuffled(sources, k).mapInArrow(add, "kmer string, count long")
 
 
-def packed_totals(table: DataFrame, k: int) -> DataFrame:
-    """rows_out, total: how many distinct words a table has and the sum of their counts, a row for each task."""
+def packed_totals(sources: list[Source], k: int) -> DataFrame:
+    """rows_in, rows_out, total: how many rows and distinct words there are, and the sum of counts; a row for each task."""
 
     def add(batches) -> Iterator:
         import pyarrow as pa
 
-        rows = total = 0
-        for words, n in _passes(_rows_of(batches)):
-            rows, total = rows + len(words[0]), total + int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([total], pa.int64())], names=["rows_out", "total"])
+        rows = _rows_of(batches)
+        rows_in = sum(r[5] for r in rows)
+        rows_out = total = 0
+        for words, n in _passes(rows):
+            rows_out, total = rows_out + len(words[0]), total + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (rows_in, rows_out, total)], names=["rows_in", "rows_out", "total"])
 
-    return _shuffled(table, k, _even(k, tasks_for(table)), True).mapInArrow(add, "rows_out long, total long")
+    return _shuffled(sources, k).mapInArrow(add, "rows_in long, rows_out long, total long")
 
 
-def packed_in_order(table: DataFrame, k: int, bounds: np.ndarray) -> DataFrame:
+def packed_in_order(sources: list[Source], k: int, bounds: np.ndarray) -> DataFrame:
     """As packed_sums, in word order: each partition holds a range of words, and ranges do not overlap."""
 
     def add(batches) -> Iterator:
         for words, n in _passes(_rows_of(batches)):
             yield from _batches(words, n, k)
 
-    return _shuffled(table, k, bounds, False).mapInArrow(add, "kmer string, count long")
+    return _shuffled(sources, k, bounds).mapInArrow(add, "kmer string, count long")
 
 
 # -- bounds of ranges ----------------------------------------------------------------------------------
@@ -527,20 +569,22 @@ def rows_like(table: DataFrame, k: int) -> DataFrame:
     """As windows_like, of the rows of a table."""
 
     def run(batches) -> Iterator:
-        yield from _thinned(_parsed(b.column(0), k)[0] for b in batches if len(b.column(0)))
+        for batch in _thinned(_parsed(b.column(0), k)[0] for b in batches if len(b.column(0))):
+            yield batch.set_column(0, "n", _scaled(batch.column(0)))
 
-    return table.select("kmer").mapInArrow(run, "n long, codes binary")
+    # Few rows go to Python, by a hash of the word.
+    return table.select("kmer").where(F.pmod(F.xxhash64("kmer", F.lit(5)), F.lit(EVERY)) == 0).mapInArrow(run, "n long, codes binary")
 
 
 def bounds_of(like: DataFrame, files: int | None = None) -> np.ndarray:
-    """Where ranges of about HELD words begin (or `files` ranges), by some codes of each task."""
+    """Where ranges of about RANGE words begin (or `files` ranges), by some codes of each task."""
     rows = [(r["n"], np.frombuffer(r["codes"], U64)) for r in like.collect()]
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return np.empty(0, U64)
     codes = np.concatenate([c for _, c in rows])
     weight = np.concatenate([np.full(len(c), n / len(c)) for n, c in rows])
-    files = files or max(1, min(MOST, -(-sum(n for n, _ in rows) // HELD)))
+    files = files or max(1, min(MOST, -(-sum(n for n, _ in rows) // RANGE)))
     order = np.argsort(codes)
     reached = np.cumsum(weight[order])
     return np.unique(codes[order][np.searchsorted(reached, reached[-1] * np.arange(1, files) / files)])

@@ -12,14 +12,14 @@ import hashlib
 import json
 import time
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import check_k, hexadecimal
-from . import counting, lookup, merging, patterns, recipes, stats
+from . import counting, lookup, merging, packed, patterns, recipes, stats
 from . import fuzzy as search
 
 FORMAT = "1.0"
@@ -30,11 +30,14 @@ class TableError(ValueError):
 
 
 def _row_sum(rows: DataFrame) -> F.Column:
-    """An aggregate over rows that does not depend on their order."""
-    return F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("rows")
+    """An aggregate over rows that does not depend on their order: sums of three parts of their hashes, as no long holds the sum of all."""
+    h, low = F.xxhash64(*rows.columns), F.lit((1 << 21) - 1)
+    parts = (F.shiftright(h, 42), F.shiftright(h, 21).bitwiseAND(low), h.bitwiseAND(low))
+    return F.struct(*[F.sum(p) for p in parts]).alias("rows")
 
 
-def _digest(n: int, total) -> str:
+def _digest(n: int, parts) -> str:
+    total = None if parts[0] is None else (parts[0] << 42) + (parts[1] << 21) + parts[2]
     return hashlib.sha256(f"{n}:{total}".encode()).hexdigest()
 
 
@@ -54,6 +57,9 @@ class KmerTable:
     sorted: bool = False
     sources: tuple[str, ...] = ()
     custom: dict[str, str] = field(default_factory=dict)
+    #: What gives the table when it is summed by word, and some of its words (packed.windows_like), where saving can do with these.
+    parts: tuple[packed.Source, ...] = field(default=(), repr=False, compare=False)
+    like: DataFrame | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         check_k(self.k)
@@ -63,7 +69,11 @@ class KmerTable:
     @classmethod
     def count(cls, sequences: DataFrame, k: int, canonical: bool = False, seq: str = "seq", least: int | None = None, most: int | None = None) -> KmerTable:
         rows = counting.count_words(sequences, k, canonical, seq)
-        return cls(counting.filter_counts(rows, least, most), k, canonical)
+        table = cls(counting.filter_counts(rows, least, most), k, canonical)
+        if k <= packed.SHORT_K:
+            return table
+        parts = () if least or most else (packed.counted_source(sequences, k, canonical, seq),)
+        return replace(table, parts=parts, like=packed.windows_like(sequences, k, canonical, seq))
 
     @classmethod
     def from_pairs(cls, spark: SparkSession, pairs: list[tuple[str, int]], k: int, canonical: bool = False) -> KmerTable:
@@ -86,7 +96,7 @@ class KmerTable:
         return self._with(merging.sum_tables([self.rows, KmerTable.from_pairs(self.spark, [(word, count)], self.k, self.canonical).rows], "error"))
 
     def _with(self, rows: DataFrame) -> KmerTable:
-        return replace(self, rows=rows, sorted=False)
+        return replace(self, rows=rows, sorted=False, parts=(), like=None)
 
     @property
     def spark(self) -> SparkSession:
@@ -95,18 +105,30 @@ class KmerTable:
     # -- storing --------------------------------------------------------------------------------
 
     def save(self, path: str, allow_empty: bool = True, files: int | None = None) -> KmerTable:
-        """Writes the table sorted by word; returns it as read again."""
-        rows = self.rows.select("kmer", "count")
-        rows = rows.repartitionByRange(files, "kmer") if files else rows.repartitionByRange("kmer")
+        """Writes the table sorted by word; returns it as read again. Long words take one packed shuffle, also where they come from several tables."""
         if not allow_empty and self.rows.isEmpty():
             raise TableError("the table has no rows")
-        rows.sortWithinPartitions("kmer").write.mode("errorifexists").parquet(f"{path}/data")
-        written = self.spark.read.parquet(f"{path}/data")
+        if self.k > packed.SHORT_K:
+            rows = packed.packed_in_order(self.unsummed(), self.k, packed.bounds_of(self._like(), files))
+        else:
+            rows = self.rows.select("kmer", "count")
+            rows = (rows.repartitionByRange(files, "kmer") if files else rows.repartitionByRange("kmer")).sortWithinPartitions("kmer")
+        # Sorted words share most of their letters with the one before, which this encoding leaves out.
+        write = rows.write.mode("errorifexists").option("parquet.writer.version", "v2").option("parquet.enable.dictionary#kmer", "false").option("compression", "zstd")
+        write.parquet(f"{path}/data")
+        written = self.spark.read.schema("kmer string, count long").parquet(f"{path}/data")
         totals = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("s"), _row_sum(written)).first()
         meta = {"format": FORMAT, "k": self.k, "canonical": self.canonical, "sorted": True, "distinct_kmers": totals["n"], "total_kmers": totals["s"], "checksum": _digest(totals["n"], totals["rows"]), "created_at": int(time.time()), "source_files": list(self.sources), "custom": self.custom}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata.json")
         return KmerTable.load(self.spark, path)
 
+    def unsummed(self) -> list[packed.Source]:
+        """What gives the table when it is summed by word."""
+        return list(self.parts) or [packed.table_source(self.rows, self.k)]
+
+    def _like(self) -> DataFrame:
+        return packed.rows_like(self.rows, self.k) if self.like is None else self.like
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, check: bool = False) -> KmerTable:
         """Reads a saved table; check compares the number of rows and the checksum with the metadata."""
@@ -196,7 +218,7 @@ class KmerTable:
     # -- reports --------------------------------------------------------------------------------
 
     def filter(self, least: int | None = None, most: int | None = None) -> KmerTable:
-        return replace(self, rows=counting.filter_counts(self.rows, least, most))
+        return replace(self, rows=counting.filter_counts(self.rows, least, most), parts=())
 
     def filter_report(self, least: int | None = None, most: int | None = None) -> DataFrame:
         return counting.filter_report(self.rows, least, most)
@@ -261,4 +283,11 @@ def merge(tables: list[KmerTable], policy: str = "exact", mixed: bool = False) -
         raise TableError("; ".join(against))
     to = any(t.canonical for t in tables)
     rows = [merging.to_canonical(t.rows) if to and not t.canonical else t.rows for t in tables]
-    return KmerTable(merging.sum_tables(rows, policy), tables[0].k, to, False, tuple(s for t in tables for s in t.sources))
+    k, named = tables[0].k, tuple(s for t in tables for s in t.sources)
+    if k <= packed.SHORT_K or policy != "exact":
+        return KmerTable(merging.sum_tables(rows, policy), k, to, False, named)
+    # Words made canonical are not like those of their table; then the rows themselves are looked at.
+    alike = [t.canonical == to for t in tables]
+    parts = [p for t, r, a in zip(tables, rows, alike, strict=True) for p in (t.unsummed() if a else [packed.table_source(r, k)])]
+    like = reduce(DataFrame.union, [t._like() if a else packed.rows_like(r, k) for t, r, a in zip(tables, rows, alike, strict=True)])
+    return KmerTable(packed.packed_sums(parts, k), k, to, False, named, parts=tuple(parts), like=like)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from helixgrid.operators import counting, packed
-from helixgrid.operators.codes import _PLACE
+from helixgrid.operators.table import KmerTable, merge
 from helixgrid.plans import catalog, files  # noqa: F401
 
 from test_sequence import naive
@@ -51,6 +51,51 @@ def test_counts_shuffle_little(spark, windows, name):
     assert moved(spark, lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) < 2 * windows
 
 
+@pytest.mark.parametrize("name,most", [("stored_merge", 11)])
+def test_tables_shuffle_little(spark, windows, name, most):
+    """Bytes a base, with the texts that are dealt; words as rows took 8 to 11 for one table."""
+    assert moved(spark, lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) < most * windows
+
+
+@pytest.mark.parametrize("k", [13, 32, 33, 64])
+def test_saved_merge(spark, k, tmp_path):
+    """Sums of tables of both kinds, saved in order, in as many files as asked for; words that are none are an error."""
+    rows = spark.createDataFrame([(s,) for s in SEQS], "seq string")
+    one, plain = KmerTable.count(rows, k, True), KmerTable.count(rows, k)
+    loaded = one.save(str(tmp_path / "one"), files=3)
+    assert loaded.is_sorted() and len(loaded.rows.inputFiles()) == 3
+    want = {w: 2 * n for w, n in Counter(w for s in SEQS for w in naive(s, k, True)).items()}
+    for i, tables in enumerate(([one, loaded], [loaded, plain])):
+        both = merge(tables, mixed=True)
+        saved = both.save(str(tmp_path / f"both{i}"))
+        for t in (both, KmerTable.load(spark, str(tmp_path / f"both{i}"), check=True)):
+            found = t.rows.collect()
+            assert {r["kmer"]: r["count"] for r in found} == want and len(found) == len(want)
+        assert saved.is_sorted()
+    few = one.filter(2)
+    assert few.save(str(tmp_path / "few")).size == few.size < len(want)
+    assert KmerTable.empty(spark, k).save(str(tmp_path / "none")).size == 0
+    with pytest.raises(Exception, match="words"):
+        KmerTable(spark.createDataFrame([("ACGN" * 20, 1)], "kmer string, count long"), k).save(str(tmp_path / "bad"))
+
+
+@pytest.mark.parametrize("held", [1 << 22, 500])
+def test_sums_in_passes(held, monkeypatch):
+    monkeypatch.setattr(packed, "HELD", held)
+    rng = np.random.default_rng(3)
+    parts = [packed._in_order((rng.integers(0, 9000, 5000).astype(np.uint64), None), rng.integers(1, 5, 5000)) for _ in range(3)]
+    got = Counter()
+    for (hi, _), n in packed._passes([packed._row(*p) for p in parts]):
+        assert not got or hi[0] > max(got)
+        got.update(dict(zip(hi.tolist(), n.tolist(), strict=True)))
+    want = Counter()
+    for (hi, _), n in parts:
+        want.update(dict(zip(hi.tolist(), n.tolist(), strict=True)))
+    assert got == want
+    with pytest.raises(OverflowError):
+        packed._in_order((np.zeros(4, np.uint64), None), np.full(4, 1 << 62))
+
+
 @pytest.mark.parametrize("k,canonical", [(13, True), (21, False), (32, True), (33, True), (64, False), (64, True)])
 @pytest.mark.parametrize("held", [1 << 22, 500])
 def test_passes(k, canonical, held, monkeypatch):
@@ -65,4 +110,3 @@ def test_passes(k, canonical, held, monkeypatch):
                 assert w not in got
                 got[w] = n
     assert got == {w: 3 * n for w, n in Counter(w for s in SEQS for w in naive(s, k, canonical)).items()}
-    assert (_PLACE[data] > 3).any()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical as canonical_of
 from .counting import capped
+from .packed import Source, packed_totals
 
 
 def sum_tables(tables: list[DataFrame], policy: str = "exact") -> DataFrame:
@@ -28,6 +29,13 @@ def merge_report(tables: list[DataFrame]) -> DataFrame:
     return per.agg(F.lit(len(tables)).alias("inputs"), rows_in.alias("rows_in"), F.count("*").alias("rows_out"), (rows_in - F.count("*")).alias("shared"), F.coalesce(F.sum("s"), F.lit(0)).alias("total_kmers"))
 
 
+def packed_report(sources: list[list[Source]], k: int) -> DataFrame:
+    """As merge_report, of tables of long words as what they are sums of (KmerTable.unsummed); each word of a table comes once."""
+    every = packed_totals([s for table in sources for s in table], k)
+    rows_in, rows_out, total = (F.coalesce(F.sum(c), F.lit(0)) for c in ("rows_in", "rows_out", "total"))
+    return every.agg(F.lit(len(sources)).alias("inputs"), rows_in.alias("rows_in"), rows_out.alias("rows_out"), (rows_in - rows_out).alias("shared"), total.alias("total_kmers"))
+
+
 def to_canonical(table: DataFrame) -> DataFrame:
     """The rows of a table under their canonical words (not summed yet)."""
     return table.select(canonical_of(F.col("kmer")).alias("kmer"), "count")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as seqf
 from ..operators import counting, fuzzy, patterns, recipes, windows
+from ..operators.merging import packed_report
 from ..operators.table import KmerTable, compatibility, merge, read_metadata
 from ..sources import binary_table, exports
 from ..sources import sequences as sources
@@ -154,9 +155,7 @@ def merge_compatibility(spark, sf_dir):
 @query(f"""{_TWO_21}, m AS (SELECT sum("count")::BIGINT AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM u) GROUP BY kmer)
 SELECT 2 AS inputs, (SELECT count(*) FROM t) + (SELECT count(*) FROM u) AS rows_in, count(*) AS rows_out, ((SELECT count(*) FROM t) + (SELECT count(*) FROM u) - count(*)) AS shared, sum(n)::BIGINT AS total_kmers FROM m""")
 def merge_report(spark, sf_dir):
-    from ..operators.merging import merge_report as report
-
-    return report([KmerTable.count(of(spark, sf_dir), 21, True).rows for of in (sequences, benchmark)])
+    return packed_report([KmerTable.count(of(spark, sf_dir), 21, True).unsummed() for of in (sequences, benchmark)], 21)
 
 
 @query(f"{_table(True, PLAIN_K)} SELECT * FROM t")

@@ -51,7 +51,7 @@ def test_counts_shuffle_little(spark, windows, name):
     assert moved(spark, lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) < 2 * windows
 
 
-@pytest.mark.parametrize("name,most", [("stored_merge", 11), ("stored_count", 5), ("stored_metadata", 5)])
+@pytest.mark.parametrize("name,most", [("stored_merge", 11), ("stored_count", 5), ("stored_metadata", 5), ("merge_report", 5)])
 def test_tables_shuffle_little(spark, windows, name, most):
     """Bytes a base, with the texts that are dealt; words as rows took 8 to 11 for one table."""
     assert moved(spark, lambda: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) < most * windows

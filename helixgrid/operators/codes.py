@@ -19,9 +19,9 @@ from ..functions.sequence import check_k, unpacked
 
 #: The longest word whose code is a non-negative BIGINT.
 CODED_K = 31
-#: Bases of a row that travel together (a batch of 10,000 such rows is 160 MB), windows that are coded at once (in a
+#: Bases of a row that travel together (a batch of 10,000 such rows is 20 MB, however long the sequences are), windows that are coded at once (in a
 #: core's cache), and windows that are combined at once.
-PIECE, BLOCK, COMBINED = 1 << 14, 1 << 16, 1 << 21
+PIECE, BLOCK, COMBINED = 1 << 11, 1 << 16, 1 << 21
 
 _PLACE = np.full(256, 4, np.uint8)
 for _i, _bases in enumerate(("Aa", "Cc", "Gg", "Tt")):

@@ -244,7 +244,8 @@ def _dealt(held: list[tuple], k: int):
     ends = np.cumsum(bases)[last]
     bases[last] += -np.diff(np.r_[0, ends]) % 4
     whole = np.cumsum(bases)
-    at = np.repeat(start - (whole - bases), bases) + np.arange(whole[-1])
+    at = np.repeat((start - (whole - bases)).astype(np.int32), bases)
+    at += np.arange(whole[-1], dtype=np.int32)
     four = place[at].reshape(-1, 4)
     packed = (four[:, 0] << 6) | (four[:, 1] << 4) | (four[:, 2] << 2) | four[:, 3]
     return pa.RecordBatch.from_arrays([pa.array(part[last].astype(np.int32)), _blobs(n.astype(np.uint8), last + 1), _blobs(packed, whole[last] // 4)], names=["part", "n", "bases"])
@@ -317,7 +318,7 @@ def counted_source(sequences: DataFrame, k: int, canonical: bool = False, seq: s
                     continue
                 held.append(_stretches(block, k, m, canonical, parts))
                 total += len(block)
-                if total >= COMBINED:
+                if total >= COMBINED // 2:
                     if any(len(h[1]) for h in held):
                         yield _dealt(held, k)
                     held, total = [], 0

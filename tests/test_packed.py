@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from helixgrid.operators import counting, packed
+from helixgrid.operators import codes, counting, packed
 from helixgrid.operators.table import KmerTable, merge
 from helixgrid.plans import catalog, files  # noqa: F401
 
@@ -110,3 +110,17 @@ def test_passes(k, canonical, held, monkeypatch):
                 assert w not in got
                 got[w] = n
     assert got == {w: 3 * n for w, n in Counter(w for s in SEQS for w in naive(s, k, canonical)).items()}
+
+
+def test_batches_are_small(spark):
+    """What Python gets at once does not grow with the length of the sequences."""
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('ACGTTGCATT', 3000) AS seq")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    n = [r["n"] for r in codes.pieces_of(rows, 11).mapInArrow(sizes, "n long").collect()]
+    assert sum(n) > 90_000_000 and max(n) < 32_000_000

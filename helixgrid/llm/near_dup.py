@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, dropped, mapped, mix64, row_key, split_words, staged
+from .common import U64, WordHashes, dropped, mapped, mapped_slices, mix64, row_key, split_words, staged
 from .components import connected_components
 
 SLOTS, WIDTH = 100, 5
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str
             yield pd.DataFrame({"key": pdf["key"].array, **{c: pdf[c].array for c in carry}, "n_shingles": [r[0] for r in rows], "set_a": [r[1] for r in rows], "set_b": [r[2] for r in rows], "sig": [r[3] for r in rows], "spread": [r[4] for r in rows]})
 
     along = "".join(f"{c} {kinds[c]}, " for c in carry)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry).mapInPandas(run, f"key {kinds[key]}, {along}n_shingles long, set_a long, set_b long, sig binary, spread binary")
+    return mapped_slices(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *carry), run, f"key {kinds[key]}, {along}n_shingles long, set_a long, set_b long, sig binary, spread binary")
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     texts = _sieved(texts, asked).join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
+    return mapped_slices(both.select("a", "b", "ta", "tb"), confirm, "a long, b long")
 
 
 def _near(percent: int) -> F.Column:

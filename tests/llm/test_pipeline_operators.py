@@ -175,6 +175,21 @@ def test_near_dup_shared_ids(spark):
     assert stay == sorted((k for k, (_, kept) in want.items() if kept), key=str)
 
 
+def test_texts_in_slices(spark):
+    """Python objects are made of few rows at a time, not of a whole batch; nulls and every row pass."""
+    from helixgrid.llm.common import mapped_slices
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf.assign(n=len(pdf))
+
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN repeat('ab ', 9) END AS text")
+    got = mapped_slices(rows, sizes, "id long, text string, n long").collect()
+    assert {(r["id"], r["text"]) for r in got} == {(r["id"], r["text"]) for r in rows.collect()} and len(got) == 5000 and max(r["n"] for r in got) <= 250
+    plans = near_dup.signatures(rows, "id", "text", 2)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plans and "MapInPandas" not in plans
+
+
 def test_near_dup_moves_only_asked_texts(spark):
     """Texts without a candidate stay out of every shuffle, also when the ids asked for are too many to broadcast."""
     rng = random.Random(11)
